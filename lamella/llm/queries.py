@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, simhash
 from .common import load
 
 
@@ -26,8 +26,12 @@ FROM d LEFT JOIN x USING (rid) LEFT JOIN y USING (rid)
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate}
+    return {f.__name__: f for f in (op1_decontaminate, op3_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
