@@ -154,7 +154,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, copy: str = "copy") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its columns and the number of the copy (from 0)."""
+    """The mix itself: each document as often as it is taken, with its columns and the number of the copy (from 0).
+
+    If docs has a column of that name, the number is called by it and underscores.
+    """
+    while copy.lower() in {c.lower() for c in docs.columns}:
+        copy += "_"
     rows = stored(_keyed(docs), "sized")
     plan, buckets = decisions(rows)
     plan = plan.select(F.struct(*plan.columns).alias("_plan"))

@@ -79,8 +79,14 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_quality, op5_neighbours, op6_pii, op7_chat, op8_licenses, op9_mix, op10_langid)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_quality, op5_neighbours, op6_pii, op7_chat, op8_licenses, op9_mix, op10_langid, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

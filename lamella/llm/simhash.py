@@ -182,16 +182,46 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket_rows:
     return units.mapInArrow(run, "a long, b long")
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes, with the fingerprint that names their component."""
+    roots = stored(components(links(nodes.select("f"), radius)), "roots")
+    return nodes.join(roots, F.col("f") == F.col("node"), "left").withColumn("root", F.coalesce("root", "f")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = stored(fingerprints(docs), "fingerprints")
     nodes = stored(prints.groupBy("f").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = stored(components(links(nodes, radius)), "roots")
-    tree = nodes.join(roots, F.col("f") == F.col("node"), "left").select(
-        "f", "least", F.coalesce("root", "f").alias("root")
-    )
+    tree = _rooted(nodes, radius)
     least = tree.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = tree.join(least, "root").select("f", "component_id")
     return prints.join(by_print, "f").select(
         "doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each component: the smallest (doc_id, hash of the whole row; null ids last).
+
+    Rows that agree in every column are one document, so of those too a single row stays. The columns of docs are kept.
+    """
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = stored(_named_prints(docs, whole), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    nodes = stored(prints.groupBy("f").agg(F.min(place).alias("least")), "nodes")
+    kept = _rooted(nodes, radius).groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.row")
+    chosen = kept.select(F.col("doc_id").alias("_kept_id"), F.col("row").alias("_kept_row"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (whole == F.col("_kept_row"))
+    repeated = prints.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = docs.join(chosen, same, "left_semi")
+    return found if repeated.isEmpty() else found.dropDuplicates()
+
+
+def _named_prints(docs: DataFrame, whole) -> DataFrame:
+    def run(batch):
+        f = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+        columns = [batch.column("doc_id"), batch.column("row"), pa.array(f.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "f"])
+
+    chosen = docs.select(F.col("doc_id").cast("long"), whole.alias("row"), as_bytes("text"))
+    return map_arrow(chosen, run, "doc_id long, row long, f long")
