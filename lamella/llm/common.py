@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,10 @@ def space_words(text: bytes | None) -> list[bytes]:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; and Python workers on this machine will find this package. (On a cluster it is installed or sent.)"""
+    here, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if here not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [here, known.get("PYTHONPATH", "")]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

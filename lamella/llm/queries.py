@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, mixing, neighbours, pii, quality, simhash
+from . import chat, decontaminate, langid, licenses, mixing, neighbours, pii, quality, simhash, substrings
 from .common import load
 
 
@@ -27,6 +27,10 @@ FROM d LEFT JOIN x USING (rid) LEFT JOIN y USING (rid)
 """
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(load(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_quality, op5_neighbours, op6_pii, op7_chat, op8_licenses, op9_mix, op10_langid, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_simhash, op4_quality, op5_neighbours, op6_pii, op7_chat, op8_licenses, op9_mix, op10_langid, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
