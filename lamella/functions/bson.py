@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,3 +120,6 @@ def from_json(text: Column) -> Column:
 
 def to_json(document: Column) -> Column:
     return _decode(document)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,6 @@ def writer_option(spark: SparkSession, method: str) -> str:
         except Exception as missing:
             raise CodecUnavailable(f"codec not available: {method}") from missing
     return method.lower()
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package

@@ -6,9 +6,11 @@ Spark's own Parquet writer encodes files; these functions show, measure and chec
 from __future__ import annotations
 
 import struct
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -205,3 +207,6 @@ def encode_pages(df: DataFrame, kind: str, value: str, page: str, order: str, en
 def encode_levels(levels, most: int, envelope: bool) -> bytes:
     """Repetition or definition levels of a page: RLE at the width of the highest level; nothing if that is 0."""
     return encode_rle(levels, most.bit_length(), envelope) if most else b""
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package

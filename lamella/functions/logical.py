@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 
 INTERVAL = T.StructType([T.StructField(c, T.LongType()) for c in ("months", "days", "milliseconds")])
@@ -61,3 +63,6 @@ def logical(kind: str) -> Logical:
     if kind not in TYPES:
         raise ValueError(f"invalid type: {kind}")
     return TYPES[kind]
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
