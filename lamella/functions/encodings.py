@@ -126,8 +126,8 @@ def encode_rle(values, width: int, envelope: bool = False) -> bytes:
     """
     v = np.asarray(values, dtype=np.int64).astype(np.uint64)
     out, open_from = [], 0
-    starts = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(v)], strict=True):
+    starts = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else v[:0].astype(np.int64)
+    for start, end in zip(starts.tolist(), np.append(starts[1:], len(v)).tolist(), strict=False):
         first = start + -(start - open_from) % GROUP
         if end - first < GROUP:
             continue

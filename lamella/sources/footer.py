@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 # Annotations of the format, where their name is not that of the logical type.
 _ANNOTATIONS = {
-    "STRING": "UTF8", "INT(8,true)": "INT_8", "INT(16,true)": "INT_16", "INT(32,true)": "INT_32", "INT(64,true)": "INT_64",
-    "INT(8,false)": "UINT_8", "INT(16,false)": "UINT_16", "INT(32,false)": "UINT_32", "INT(64,false)": "UINT_64",
+    "STRING": "UTF8", "INTEGER(8,true)": "INT_8", "INTEGER(16,true)": "INT_16", "INTEGER(32,true)": "INT_32", "INTEGER(64,true)": "INT_64",
+    "INTEGER(8,false)": "UINT_8", "INTEGER(16,false)": "UINT_16", "INTEGER(32,false)": "UINT_32", "INTEGER(64,false)": "UINT_64",
     "TIME(MILLIS,true)": "TIME_MILLIS", "TIME(MILLIS,false)": "TIME_MILLIS", "TIME(MICROS,true)": "TIME_MICROS",
     "TIME(MICROS,false)": "TIME_MICROS", "TIMESTAMP(MILLIS,true)": "TIMESTAMP_MILLIS", "TIMESTAMP(MILLIS,false)": "TIMESTAMP_MILLIS",
     "TIMESTAMP(MICROS,true)": "TIMESTAMP_MICROS", "TIMESTAMP(MICROS,false)": "TIMESTAMP_MICROS",
