@@ -15,9 +15,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import _ALNUM as _flat
 from .common import alnum_words, as_bytes, chunks
 
 WINDOW = 8
@@ -137,59 +138,59 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _score_by_join(docs: DataFrame, benchmark: DataFrame, min_items: int) -> DataFrame:
-    """The way beyond the broadcast limit: windows of both sides meet in a shuffle on their words.
+def _windows(sizes: list[int] | None):
+    """Windows (k, i, n, w) of texts: of the sizes, or of an item's own size."""
 
-    Rows that agree in doc_id and text have equal results, so they are scanned once and joined back by both.
-    """
+    def run(batches):
+        for batch in batches:
+            keys, texts = batch.column("k").to_pylist(), batch.column("text").to_pylist()
+            out = ([], [], [], [])
+            for k, t in zip(keys, texts, strict=True):
+                w = alnum_words(t)
+                for n in sizes or ({min(WINDOW, len(w))} - {0}):
+                    for i in range(len(w) - n + 1):
+                        for c, v in zip(out, (k, i, n, b" ".join(w[i : i + n])), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                names=["k", "i", "n", "w"],
+            )
 
-    def windows(sizes):
-        def run(batches):
-            for batch in batches:
-                keys, texts = batch.column("k").to_pylist(), batch.column("text").to_pylist()
-                out = ([], [], [], [])
-                for k, t in zip(keys, texts, strict=True):
-                    w = alnum_words(t)
-                    for n in sizes or ({min(WINDOW, len(w))} - {0}):
-                        for i in range(len(w) - n + 1):
-                            for c, v in zip(out, (k, i, n, b" ".join(w[i : i + n])), strict=True):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, (batch.schema.field("k").type, pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                    names=["k", "i", "n", "w"],
-                )
-
-        return run
+    return run
 
+
+def _name() -> Column:
+    """Rows that agree in doc_id and text have equal results, so they share a name."""
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return F.concat_ws(":", F.col("doc_id").cast("string"), text)
+
+
+def _hits_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(k, i, n, items): occurrences of windows in the texts of docs, found by a shuffle on the windows' words."""
+    schema = "k string, i int, n int, w binary"
     tests = (
         _items(benchmark)
         .select(F.col("item_id").cast("string").alias("k"), "text")
-        .mapInArrow(windows(None), "k string, i int, n int, w binary")
+        .mapInArrow(_windows(None), schema)
         .groupBy("n", "w")
         .agg(F.collect_set("k").alias("items"))
     )
-    sizes = sorted(r.n for r in tests.select("n").distinct().collect())
-    keyed = docs.select(
-        F.col("doc_id").cast("long"), as_bytes("text"),
-        F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("k"),
-    )
-    texts = keyed.groupBy("k").agg(F.first("text").alias("text"))
-    hits = (
-        texts.mapInArrow(windows(sizes), "k string, i int, n int, w binary").join(tests, ["n", "w"]) if sizes else None
+    sizes = sorted(r.n for r in tests.select("n").distinct().collect())  # WINDOW numbers at most
+    texts = docs.select(_name().alias("k"), as_bytes("text")).groupBy("k").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(_windows(sizes or [WINDOW]), schema).join(tests, ["n", "w"])
+
+
+def _score_by_join(docs: DataFrame, benchmark: DataFrame, min_items: int) -> DataFrame:
+    """The way beyond the broadcast limit."""
+    words = F.size(_word_array("text")).cast("long").alias("n_words")
+    counted = docs.select(F.col("doc_id").cast("long"), _name().alias("k"), words)
+    places = F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)
+    per = _hits_by_join(docs, benchmark).groupBy("k").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(places)))).cast("long").alias("n_hit"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
-    counted = keyed.select("doc_id", "k", F.size(_word_array("text")).cast("long").alias("n_words"))
-    if hits is None:
-        found = counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
-    else:
-        per = hits.groupBy("k").agg(
-            F.size(
-                F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1))))
-            ).cast("long").alias("n_hit"),
-            F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        )
-        found = counted.join(per, "k", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return found.select(
+    return counted.join(per, "k", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -199,6 +200,33 @@ def _score_by_join(docs: DataFrame, benchmark: DataFrame, min_items: int) -> Dat
     )
 
 
+def _remove_by_join(docs: DataFrame, benchmark: DataFrame, min_items: int) -> DataFrame:
+    """The way beyond the broadcast limit."""
+    names, schema = docs.columns, docs.schema
+    full = F.when(F.col("n") >= WINDOW, F.col("i"))
+    per = _hits_by_join(docs, benchmark).groupBy(F.col("k").alias("_k")).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"), F.collect_set(full).alias("_starts")
+    )
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), _name().alias("_name"))
+    found = held.join(per, F.col("_name") == F.col("_k"), "left").where(F.coalesce("_items", F.lit(0)) < min_items)
+    columns = [F.col("_doc")[c].alias(c) for c in names]
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch.select(range(len(names)))])
+            old = table.column("text").to_pylist()
+            new = list(old)
+            for r, starts in enumerate(batch.column(len(names)).to_pylist()):
+                if starts:
+                    hit = np.zeros(max(starts) + WINDOW, dtype=bool)
+                    for i in starts:
+                        hit[i : i + WINDOW] = True
+                    new[r] = cut(old[r], hit)
+            yield from _replaced(table, old, new, np.ones(len(old), dtype=bool)).to_batches()
+
+    return found.select(*columns, F.col("_starts")).mapInArrow(run, schema)
+
+
 def _word_array(column: str):
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     return F.filter(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
@@ -212,7 +240,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, limit: int
     """
     index = broadcast_index(benchmark, limit)
     if index is None:
-        raise ValueError("cutting passages needs a benchmark below the broadcast limit; use score() and a join")
+        return _remove_by_join(docs, benchmark, min_items)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = docs.schema
 
@@ -269,5 +297,3 @@ def cut(text: str, hit: np.ndarray) -> str:
         last = run[1]
     return b"".join([*out, data[last:]]).decode()
 
-
-from .common import _ALNUM as _flat  # noqa: E402
