@@ -3,8 +3,10 @@
 Centroids come from balanced splits of a sample of at most SAMPLE distinct vectors; every vector is indexed. A vector
 joins its nearest list and further ones almost as near (up to COPIES, none of which is nearer to a list already chosen
 than to the vector). Centroids are found by best-first search of a neighbour graph, broadcast with at most MOST_LISTS
-nodes. A query reads each list whose centroid is within RATIO times the distance of the nearest one; there is no other
-bound on the lists it reads. Within the lists distances are exact.
+nodes. A query reads each list whose centroid is within RATIO times the distance of its LEAST-th nearest one, and goes on
+to further lists while it has fewer than READ_ROWS rows for each result; there is no other bound on the lists it reads.
+(A ratio to the nearest one alone reads too little where a query lies on a centroid.) Within the lists distances are
+exact. Where vectors have no clusters, as independent noise in many dimensions, this reads most lists: recall comes first.
 
 Equal vectors are indexed once, with their smallest ids, of which no query can need more than k + 1. Long lists and
 lists with many queries are dealt out in blocks, so no task holds a whole hot list.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 2_048
-COPIES, NEAR, RATIO = 4, 1.10, 1.15
+COPIES, NEAR, RATIO, LEAST, READ_ROWS = 4, 1.10, 1.15, 4, 20
 LIST_BLOCK, QUERY_BLOCK = 4_096, 2_048
 _DEGREE, _WIDTH, _ENTRIES = 16, 8, 8
 
@@ -72,11 +74,11 @@ class Graph:
             self.links[:, -3:] = rng.integers(0, n, (n, 3))  # long links keep the graph connected
             self.links[np.arange(n), -1] = (np.arange(n) + 1) % n
 
-    def search(self, x: np.ndarray, least: int, ratio: float) -> np.ndarray:
-        """Distances (rows of x, centroids), infinite where not reached. All within ratio of the best, and the least
-        nearest, are looked for: best-first, until no open node is nearer than both bounds."""
+    def search(self, x: np.ndarray, least: int, ratio: float, base: int = 1) -> np.ndarray:
+        """Distances (rows of x, centroids), infinite where not reached. All within ratio of the base-th best, and the
+        least nearest, are looked for: best-first, until no open node is nearer than both bounds."""
         rows, n = len(x), len(self.c)
-        least = min(least, n)
+        least, base = min(least, n), min(base, n)
         found = np.full((rows, n), np.inf)
         closed = np.zeros((rows, n), dtype=bool)
         norm = (x**2).sum(axis=1)
@@ -85,7 +87,8 @@ class Graph:
         width = min(_WIDTH, n)
         while len(active):
             f = found[active]
-            bound = np.maximum(np.partition(f, least - 1, axis=1)[:, least - 1], f.min(axis=1) * ratio)
+            best = np.partition(f, (base - 1, least - 1), axis=1)
+            bound = np.maximum(best[:, least - 1], best[:, base - 1] * ratio)
             f = np.where(closed[active] | (f > bound[:, None]), np.inf, f)
             nodes = np.argpartition(f, width - 1, axis=1)[:, :width]
             live = np.isfinite(np.take_along_axis(f, nodes, axis=1))
@@ -118,9 +121,16 @@ class Graph:
             out.append(chosen)
         return out
 
-    def lists_to_read(self, x: np.ndarray, ratio: float) -> list[list[int]]:
-        found = self.search(x, 1, ratio)
-        return [np.flatnonzero(f <= ratio * f.min()).tolist() for f in found]
+    def lists_to_read(self, x: np.ndarray, ratio: float, sizes: np.ndarray, rows: int) -> list[list[int]]:
+        """Lists within ratio of the LEAST-th nearest, and the next ones until they hold so many rows together."""
+        found, out = self.search(x, 2 * LEAST, ratio, LEAST), []
+        for f in found:
+            order = np.argsort(f, kind="stable")
+            near = int((f <= ratio * f[order[min(LEAST, len(f)) - 1]]).sum())
+            enough = int(np.searchsorted(np.cumsum(sizes[order]), rows)) + 1
+            n = max(near, enough)
+            out.append(order[:n].tolist() if n <= np.isfinite(f).sum() else list(range(len(f))))
+        return out
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
@@ -164,11 +174,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
         for pdf in batches:
             for i in range(0, len(pdf), 256):
                 part = pdf.iloc[i : i + 256]
-                yield part.assign(list=shared.value.lists_to_read(np.stack(part["q"].to_numpy()), ratio))
+                yield part.assign(list=shared.value.lists_to_read(np.stack(part["q"].to_numpy()), ratio, sizes, READ_ROWS * k))
 
     each = F.explode("list").alias("list")
     postings = once.mapInPandas(place, "uid long, v array<double>, ids array<long>, list array<int>")
     postings = stored(postings.select("uid", "v", "ids", each), "postings")
+    sizes = np.zeros(len(graph.c), dtype=np.int64)
+    for r in postings.groupBy("list").count().collect():  # MOST_LISTS rows, about, at most
+        sizes[r["list"]] = r["count"]
     aimed = stored(wanted.mapInPandas(aim, "q array<double>, quid long, list array<int>").select("quid", "q", each), "aimed")
     blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("lb"))
     turns = aimed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb"))
