@@ -8,8 +8,9 @@ to further lists while it has fewer than READ_ROWS rows for each result; there i
 (A ratio to the nearest one alone reads too little where a query lies on a centroid.) Within the lists distances are
 exact. Where vectors have no clusters, as independent noise in many dimensions, this reads most lists: recall comes first.
 
-Equal vectors are indexed once, with their smallest ids, of which no query can need more than k + 1. Long lists and
-lists with many queries are dealt out in blocks, so no task holds a whole hot list.
+Equal vectors are indexed once, with their smallest ids, of which no query can need more than k + 1. Neighbouring lists
+lie in bundles, from each of which a query gets one answer. Bundles of many rows (one hot list can be one) or of many
+queries are dealt out in blocks, so no task holds more than BUNDLE_ROWS of them, about.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another length than the most frequent one (ties: the shorter); repeated rows count once; a query's own vec_id is never
@@ -28,7 +29,8 @@ from .common import stored
 
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 2_048
 COPIES, NEAR, RATIO, LEAST, READ_ROWS = 4, 1.10, 1.15, 4, 20
-LIST_BLOCK, QUERY_BLOCK = 4_096, 2_048
+#: Rows that a task holds, and queries that it answers, about.
+BUNDLE_ROWS, QUERY_BLOCK = 8_192, 2_048
 _DEGREE, _WIDTH, _ENTRIES = 16, 8, 8
 
 
@@ -133,6 +135,11 @@ class Graph:
         return out
 
 
+def _with_ties(bound: np.ndarray) -> np.ndarray:
+    """A bound on squared distances less the query's own square, widened by what rounding can change."""
+    return bound + 1e-9 * (1 + np.abs(bound))
+
+
 def _clean(vectors: DataFrame) -> DataFrame:
     """vec_id, v (doubles), of the vectors that take part."""
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -170,45 +177,78 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = R
                 part = pdf.iloc[i : i + 512]
                 yield part.assign(list=shared.value.lists_for(np.stack(part["v"].to_numpy())))
 
-    def aim(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                part = pdf.iloc[i : i + 256]
-                yield part.assign(list=shared.value.lists_to_read(np.stack(part["q"].to_numpy()), ratio, sizes, READ_ROWS * k))
-
     each = F.explode("list").alias("list")
     postings = once.mapInPandas(place, "uid long, v array<double>, ids array<long>, list array<int>")
     postings = stored(postings.select("uid", "v", "ids", each), "postings")
     sizes = np.zeros(len(graph.c), dtype=np.int64)
-    for r in postings.groupBy("list").count().collect():  # MOST_LISTS rows, about, at most
+    for r in postings.groupBy("list").count().collect():  # a row for each centroid at most, of which there is a bound
         sizes[r["list"]] = r["count"]
-    aimed = stored(wanted.mapInPandas(aim, "q array<double>, quid long, list array<int>").select("quid", "q", each), "aimed")
-    blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("lb"))
-    turns = aimed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb"))
-    dealt = stored(blocks.join(turns, "list"), "dealt")
+    bundle_of = np.maximum(np.cumsum(sizes) - 1, 0) // BUNDLE_ROWS
+    rows_of = np.bincount(bundle_of, weights=sizes)
+    blocks_of = np.maximum(1, -(-rows_of // BUNDLE_ROWS)).astype(int)
+    known = [(i, int(bundle), int(blocks_of[bundle])) for i, bundle in enumerate(bundle_of)]
+    bundles = F.broadcast(spark.createDataFrame(known, "list int, bundle int, blocks int"))
+
+    def aim(batches):
+        for pdf in batches:
+            out = {"quid": [], "q": [], "bundle": [], "blocks": [], "lists": []}
+            for i in range(0, len(pdf), 256):
+                part = pdf.iloc[i : i + 256]
+                found = shared.value.lists_to_read(np.stack(part["q"].to_numpy()), ratio, sizes, READ_ROWS * k)
+                for quid, q, lists in zip(part["quid"], part["q"], found, strict=True):
+                    lists = np.array(lists)
+                    for bundle in np.unique(bundle_of[lists]):
+                        own = lists[bundle_of[lists] == bundle].tolist()
+                        for c, x in zip(out.values(), (quid, q, int(bundle), int(blocks_of[bundle]), own), strict=True):
+                            c.append(x)
+            yield pd.DataFrame(out)
+
+    aimed = wanted.mapInPandas(aim, "quid long, q array<double>, bundle int, blocks int, lists array<int>")
+    aimed = stored(aimed, "aimed")
+    turns = stored(aimed.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns")), "turns")
+    turns = F.broadcast(turns)  # no more rows than there are bundles
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    some = lambda c, n: F.pmod(F.xxhash64(c, "list"), F.col(n)).cast("int")
-    left = postings.join(dealt, "list").select("list", some("uid", "lb").alias("b"), upto("qb").alias("t"), "v", "ids")
-    right = aimed.join(dealt, "list").select("list", upto("lb").alias("b"), some("quid", "qb").alias("t"), "quid", "q")
+    some = lambda c, n: F.pmod(F.xxhash64(c, "bundle"), F.col(n)).cast("int")
+    left = postings.join(bundles, "list").join(turns, "bundle").select("bundle", some("uid", "blocks").alias("b"), upto("turns").alias("t"), "list", "v", "ids")
+    right = aimed.join(turns, "bundle").select("bundle", upto("blocks").alias("b"), some("quid", "turns").alias("t"), "quid", "q", "lists")
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The k + 1 nearest rows, and ties, of each query among the lists of a bundle that it reads."""
         out = {"quid": [], "score": [], "ids": []}
-        if len(a) and len(b):
-            v, ids = np.stack(a["v"].to_numpy()), a["ids"].to_numpy()
-            square = (v**2).sum(axis=1)
-            for i in range(0, len(b), 256):
-                q, quid = np.stack(b["q"].iloc[i : i + 256].to_numpy()), b["quid"].iloc[i : i + 256].to_numpy()
-                d = square - 2 * q @ v.T
-                most = min(k, d.shape[1] - 1)
-                bound = np.partition(d, most, axis=1)[:, most] + 1e-9 * (1 + np.abs(d).max(axis=1))
-                for j in range(len(q)):
-                    at = np.flatnonzero(d[j] <= bound[j])
-                    out["quid"] += [quid[j]] * len(at)
-                    out["score"] += np.sqrt(((v[at] - q[j]) ** 2).sum(axis=1)).tolist()
-                    out["ids"] += ids[at].tolist()
+        if not len(a) or not len(b):
+            return pd.DataFrame(out)
+        a = a.sort_values("list", kind="stable")
+        v, ids = np.stack(a["v"].to_numpy()), a["ids"].to_numpy()
+        square = (v**2).sum(axis=1)
+        names, starts = np.unique(a["list"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(v))
+        for i in range(0, len(b), 256):
+            part = b.iloc[i : i + 256]
+            q, quid = np.stack(part["q"].to_numpy()), part["quid"].to_numpy()
+            reads = np.zeros((len(q), len(names)), dtype=bool)
+            for j, lists in enumerate(part["lists"]):
+                reads[j] = np.isin(names, lists)
+            found = []
+            for j, (x, y) in enumerate(zip(starts, ends, strict=True)):
+                mine = np.flatnonzero(reads[:, j])
+                if len(mine):
+                    d = square[x:y] - 2 * q[mine] @ v[x:y].T
+                    at, row = np.nonzero(d <= _with_ties(np.partition(d, min(k, y - x - 1), axis=1)[:, min(k, y - x - 1)])[:, None])
+                    found.append((mine[at], row + x, d[at, row]))
+            if not found:
+                continue
+            at, row, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((d, at))
+            at, row, d = at[order], row[order], d[order]
+            first, last = np.searchsorted(at, at, side="left"), np.searchsorted(at, at, side="right")
+            keep = d <= _with_ties(d[np.minimum(first + k, last - 1)])
+            at, row = at[keep], row[keep]
+            out["quid"] += quid[at].tolist()
+            out["score"] += np.sqrt(((v[row] - q[at]) ** 2).sum(axis=1)).tolist()
+            out["ids"] += ids[row].tolist()
         return pd.DataFrame(out)
 
-    keys = ["list", "b", "t"]
+    keys = ["bundle", "b", "t"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "quid long, score double, ids array<long>")
     best = W.partitionBy("quid").orderBy("score", "vec_id")
     ranked = (

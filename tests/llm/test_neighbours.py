@@ -71,7 +71,7 @@ def test_many_equal_vectors(spark):
 
 def test_recall_with_many_lists(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LIST_ROWS", 32)
-    monkeypatch.setattr(neighbours, "LIST_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "BUNDLE_ROWS", 200)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
     monkeypatch.setattr(neighbours, "SAMPLE", 1000)
     rows = clusters(3000)
