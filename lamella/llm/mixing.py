@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
+#: Most sources whose decisions are broadcast (a hundred bytes each, about), and parts of a source beyond that.
+BROADCAST_SOURCES, SALTS = 50_000, 64
 #: Rows of a bucket of keys, about; and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 256, 65_536
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -74,6 +76,19 @@ def targets(sources: DataFrame) -> DataFrame:
     )
 
 
+def _lookup(rows: DataFrame, small: DataFrame, condition: Column, spread: Column, limit: int = BROADCAST_SOURCES) -> DataFrame:
+    """rows with what small, a stored table with a row for each source, has for theirs.
+
+    Up to limit rows small is broadcast, so rows stay where they are. Beyond, rows are dealt by source and SALTS values of
+    spread, and small is repeated for each, so no source is one task.
+    """
+    if small.count() <= limit:
+        return rows.join(F.broadcast(small), condition)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    repeated = small.withColumn("_salted", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(repeated, condition & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     size = word_count(F.col("text"))
     sized = docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), F.col("text"))
@@ -109,9 +124,9 @@ def decisions(rows: DataFrame) -> tuple[DataFrame, int]:
         .select("s", "e.*")
     )
     edge = stored(edge.withColumnRenamed("bucket", "edge"), "edge")
+    at_edge = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("edge"))
     near = (
-        rows.withColumn("bucket", _bucket(buckets))
-        .join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("edge")))
+        _lookup(rows.withColumn("bucket", _bucket(buckets)), edge, at_edge, F.col("key"))
         .groupBy("s", "edge", "before", "rest", "key", "doc_id", "size")
         .agg(F.sum("size").alias("sum"))
     )
@@ -133,7 +148,7 @@ def decisions(rows: DataFrame) -> tuple[DataFrame, int]:
         .select(F.col("s").alias("u"), F.col("m.place").alias("more"))
     )
     ends = last.join(more, F.col("s").eqNullSafe(F.col("u")), "left").select("s", "edge", "last", "more")
-    return plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest"), buckets
+    return stored(plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest"), "ends"), buckets
 
 
 def _times(buckets: int) -> Column:
@@ -148,7 +163,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = stored(_keyed(docs), "sized")
     plan, buckets = decisions(rows)
     plan = plan.withColumnRenamed("source", "of")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).select(
+    return _lookup(rows, plan, F.col("source").eqNullSafe(F.col("of")), F.col("key")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _times(buckets)).cast("long").alias("taken")
     )
 
@@ -165,7 +180,7 @@ def sample(docs: DataFrame, copy: str = "copy") -> DataFrame:
     plan = plan.select(F.struct(*plan.columns).alias("_plan"))
     size = word_count(F.col("_doc.text"))
     sized = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_size", size)
-    joined = sized.join(plan, F.col("_doc.source").eqNullSafe(F.col("_plan.source")))
+    joined = _lookup(sized, plan, F.col("_doc.source").eqNullSafe(F.col("_plan.source")), F.col("_doc.doc_id"))
     weight = quality_weight(F.col("_doc.text"), F.col("_size"))
     named = joined.select(
         "_doc", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"),

@@ -101,6 +101,15 @@ def test_the_sample_holds_what_the_mix_takes(spark):
     assert words == sum(r.taken for r in mixing.mix(docs).collect())
 
 
+def test_sources_beyond_the_broadcast_are_salted(spark, monkeypatch):
+    rows = corpus(300)
+    expected = sorted(map(str, mixing.mix(frame(spark, rows)).collect()))
+    sample = sorted(map(str, mixing.sample(frame(spark, rows)).collect()))
+    monkeypatch.setattr(mixing._lookup, "__defaults__", (0,))
+    assert sorted(map(str, mixing.mix(frame(spark, rows)).collect())) == expected
+    assert sorted(map(str, mixing.sample(frame(spark, rows)).collect())) == sample
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "one", "a")], [(1, "", "a"), (2, None, "b")]])
 def test_small_tables(spark, rows):
     found = mixing.mix(frame(spark, rows)).collect()
