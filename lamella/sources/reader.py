@@ -75,6 +75,17 @@ class Cursor:
         rows = unpacked(self._scan().withColumns(places), self._wanted)
         return rows.orderBy("_file", "_row").drop("_file", "_row")
 
+    def row_group(self, group: int, file: int = 0) -> DataFrame:
+        """The rows of one row group of one of the reader's files. IndexError if there is no such group."""
+        self._reader.check_open()
+        name = self._reader.files[file]
+        sizes = [n for n, _ in read_footer(self._reader.spark, name).groups]
+        first = sum(sizes[:group])
+        places = {"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")}
+        rows = self._scan().withColumns(places).where(F.col("_file") == name.rpartition("/")[2])
+        inside = rows.where(F.col("_row").between(first, first + sizes[group] - 1))
+        return unpacked(inside, self._wanted).orderBy("_row").drop("_file", "_row")
+
     def next(self) -> dict | None:
         """The next record, without keys for fields that have no value; None after the last."""
         self._reader.check_open()
