@@ -30,7 +30,7 @@ from .common import stored
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 256, 2_048
 COPIES, NEAR, RATIO, LEAST, READ_ROWS = 4, 1.10, 1.15, 4, 20
 #: Rows that a task holds, and queries that it answers, about.
-BUNDLE_ROWS, QUERY_BLOCK = 8_192, 2_048
+BUNDLE_ROWS, QUERY_BLOCK = 2_048, 2_048
 _DEGREE, _WIDTH, _ENTRIES = 16, 8, 8
 
 
