@@ -23,7 +23,7 @@ from .common import alnum_words, as_bytes, chunks
 
 WINDOW = 8
 #: Most bytes of benchmark text whose windows are broadcast; beyond it windows are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 _WORDS_AT_ONCE = 1_000_000
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -37,27 +37,58 @@ class _Vocabulary(dict):
         return 0
 
 
+class _Windows:
+    """The distinct windows of one length, as rows of word numbers sorted by hash, with the items that hold them.
+
+    Arrays of numbers: about 50 bytes for a window, however many there are.
+    """
+
+    def __init__(self, rows: np.ndarray, items: np.ndarray, factors: np.ndarray):
+        keys, which = np.unique(rows, axis=0, return_inverse=True)
+        hashes = (keys.astype(np.uint64) * factors[: keys.shape[1]]).sum(axis=1, dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.keys, self.hashes = keys[order], hashes[order]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        held = np.unique(np.stack([rank[which.ravel()], items], axis=1), axis=0)
+        self.starts = np.searchsorted(held[:, 0], np.arange(len(keys) + 1))
+        self.items = held[:, 1].astype(np.int32)
+        #: Most windows that have one hash.
+        self.most = int(np.unique(self.hashes, return_counts=True)[1].max())
+
+    def match(self, flat: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places at with hashes h, those where a window stands, word by word, and the window's row."""
+        first = np.searchsorted(self.hashes, h)
+        n = self.keys.shape[1]
+        places, rows = [], []
+        for k in range(self.most):
+            row = np.minimum(first + k, len(self.hashes) - 1)
+            near = np.flatnonzero(self.hashes[row] == h)
+            same = (self.keys[row[near]] == flat[at[near, None] + np.arange(n)]).all(axis=1)
+            places.append(at[near[same]])
+            rows.append(row[near[same]])
+        return np.concatenate(places), np.concatenate(rows)
+
+
 class WindowIndex:
     """Exact windows by their length, behind sorted 64-bit hashes of word numbers."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
         self.vocabulary = _Vocabulary()
-        self.exact: dict[int, dict[tuple, tuple]] = {}
+        self.names = sorted({item for item, _ in items}, key=str)
+        number = {item: i for i, item in enumerate(self.names)}
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item, words in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint32)
             n = min(window, len(numbers))
-            table = self.exact.setdefault(n, {}) if n else {}
-            for i in range(len(numbers) - n + 1 if n else 0):
-                key = tuple(numbers[i : i + n])
-                table[key] = tuple(sorted({*table.get(key, ()), item}))
+            if n:
+                cut = np.lib.stride_tricks.sliding_window_view(numbers, n)
+                rows.setdefault(n, []).append(cut)
+                owners.setdefault(n, []).append(np.full(len(cut), number[item]))
         rng = np.random.default_rng(17)
         self.factors = rng.integers(1, 2**63, size=window, dtype=np.uint64) | np.uint64(1)
-        self.hashes = {
-            n: np.unique(
-                (np.array(list(t), dtype=np.uint64).reshape(-1, n) * self.factors[:n]).sum(axis=1, dtype=np.uint64)
-            )
-            for n, t in self.exact.items()
-        }
+        self.exact = {n: _Windows(np.concatenate(r), np.concatenate(owners[n]), self.factors) for n, r in rows.items()}
 
     def scan(self, texts: list[bytes | None], least: int = 1):
         """Per text: number of words, hit flag per word, set of items. Only windows of least words or more count."""
@@ -71,23 +102,23 @@ class WindowIndex:
         known = np.concatenate([[0], np.cumsum(flat > 0)])
         edge = np.zeros(total + 1, dtype=np.int64)
         found: dict[int, set] = {}
-        for n, table in self.exact.items():
+        for n, windows in self.exact.items():
             if n < least or total < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
+            doc = np.searchsorted(starts, at, side="right") - 1
+            inside = at + n <= starts[doc + 1]
+            at = at[inside]
             h = np.zeros(len(at), dtype=np.uint64)
             for k in range(n):
                 h += flat[at + k] * self.factors[k]
-            place = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
-            at = at[self.hashes[n][place] == h]
+            at, row = windows.match(flat, at, h)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + n, -1)
             doc = np.searchsorted(starts, at, side="right") - 1
-            inside = at + n <= starts[doc + 1]
-            for i, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
-                items = table.get(tuple(flat[i : i + n].tolist()))  # the words themselves, not only their hash
-                if items:
-                    found.setdefault(d, set()).update(items)
-                    edge[i] += 1
-                    edge[i + n] -= 1
+            for d, r in np.unique(np.stack([doc, row], axis=1), axis=0).tolist():
+                own = windows.items[windows.starts[r] : windows.starts[r + 1]].tolist()
+                found.setdefault(d, set()).update(self.names[i] for i in own)
         hit = np.cumsum(edge[:-1]) > 0
         return split, lengths, starts, hit, found
 

@@ -88,7 +88,8 @@ def test_removal_cuts_passages_and_drops_documents(spark, limit):
 
 
 def test_hash_hits_are_verified():
-    index = decontaminate.WindowIndex([(1, [b"a", b"b", b"c"])])
-    index.exact[3] = {}
-    *_, found = index.scan([b"a b c"])
-    assert found == {}
+    index = decontaminate.WindowIndex([(1, [b"a", b"b", b"c"]), (2, [b"a", b"b", b"d"])])
+    windows = index.exact[3]
+    windows.most, windows.hashes[:], index.factors[:] = 2, 0, 0  # both windows, and all of the text's, have one hash
+    *_, hit, found = index.scan([b"x a b d", b"a b x"])
+    assert found == {0: {2}} and hit.tolist() == [False, True, True, True, False, False, False]
