@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -17,6 +16,8 @@ _ANNOTATIONS = {
     "TIMESTAMP(MICROS,true)": "TIMESTAMP_MICROS", "TIMESTAMP(MICROS,false)": "TIMESTAMP_MICROS",
 }
 _SPARK_KEYS = "org.apache.spark."
+#: Key under which Spark's writer keeps the schema of a DataFrame.
+SPARK_SCHEMA = "org.apache.spark.sql.parquet.row.metadata"
 
 
 @dataclass
@@ -136,6 +137,3 @@ def row_groups(spark: SparkSession, files: list[str]):
         rows, "file string, row_group int, rows long, column string, codec string, encodings array<string>, num_values long, compressed long, uncompressed long"
     )
 
-
-def to_json(metadata: dict) -> str:
-    return json.dumps({str(k): str(v) for k, v in metadata.items()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from lamella.operators.records import to_record
 from lamella.operators.schema import METADATA_KEY, Schema, declared, table_metadata
 from lamella.operators.shared import shared_path
-from lamella.sources.footer import Footer, data_files, read_footer, row_groups, user_metadata
+from lamella.sources.footer import SPARK_SCHEMA, Footer, data_files, read_footer, row_groups, user_metadata
 from lamella.sources.intervals import stored_type, unpacked
 
 Columns = Sequence[str | Sequence[str]] | None
@@ -111,10 +112,7 @@ class Reader:
         if not self.files:
             raise FileNotFoundError(f"no data files: {path}")
         self.footer: Footer = read_footer(spark, self.files[0])
-        try:
-            self._inferred = spark.read.parquet(path).schema
-        except AnalysisException:  # TIME and INTERVAL of other writers need an explicit schema
-            self._inferred = None
+        self._inferred = self._spark_schema_of_files()
         own = self._inferred is not None and any(f.metadata and METADATA_KEY in f.metadata for f in self._inferred.fields)
         self._definition = declared(self._inferred) if own else self.footer.definition
         self._given = schema
@@ -123,6 +121,16 @@ class Reader:
         self._refuse_misread()
         self.spark_schema = self._read_schema(own)
 
+    def _spark_schema_of_files(self) -> T.StructType | None:
+        """What Spark wrote into the footer, which takes no job, or infers; None where it cannot."""
+        text = self.footer.metadata.get(SPARK_SCHEMA)
+        if text and not any("=" in f[len(self.path) :] for f in self.files):  # no partition columns in the path
+            return T.StructType.fromJson(json.loads(text))
+        try:
+            return self.spark.read.parquet(self.path).schema
+        except AnalysisException:  # TIME and INTERVAL of other writers need an explicit schema
+            return None
+
     def _refuse_misread(self) -> None:
         """Spark's vectorized reader returns wrong bytes for delta-coded byte arrays in uncompressed pages."""
         if self.spark.conf.get("spark.sql.parquet.enableVectorizedReader") != "true":
