@@ -28,7 +28,9 @@ FROM d LEFT JOIN x USING (rid) LEFT JOIN y USING (rid)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.passages(load(spark, sf_dir, "documents"))
+    """Each document with the class of those that share passages with it, and its number of links."""
+    docs = load(spark, sf_dir, "documents")
+    return substrings.classes(docs, substrings.passages(docs))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
