@@ -8,8 +8,9 @@ the bucket at that edge if it brings the sum nearer. u is a hash of the row, so
 Prefix sums are taken in two levels, over buckets of keys and inside the one bucket where the budget ends, so the
 documents of a hot source never meet in one task. DataFrame functions only.
 
-Defined results: null text has size 0; the null source is a source of its own; a source of size 0 has target 0; rows
-that agree in doc_id, source and size are taken together or not at all; an empty table has no rows; a document's extra
+Defined results: null text has size 0; the null source is a source of its own; a source of size 0 has target 0 and none of
+its documents is taken; an empty document of another source is taken in every whole epoch, and in the part if its key
+lies before the end of the part, so never more than CAP times; rows that agree in doc_id, source and size are taken together or not at all; an empty table has no rows; a document's extra
 columns are never read by mix(), and kept by sample().
 """
 
@@ -148,14 +149,14 @@ def decisions(rows: DataFrame) -> tuple[DataFrame, int]:
         .select(F.col("s").alias("u"), F.col("m.place").alias("more"))
     )
     ends = last.join(more, F.col("s").eqNullSafe(F.col("u")), "left").select("s", "edge", "last", "more")
-    return stored(plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest"), "ends"), buckets
+    return stored(plan.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "ends"), buckets
 
 
 def _times(buckets: int) -> Column:
-    """How often a row is taken. Without an edge a source has nothing after its epochs."""
+    """How often a row is taken. Without a rest or an edge a source has nothing after its epochs."""
     bucket, place = _bucket(buckets), F.struct("key", "doc_id", "size")
     part = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & (place <= F.col("last"))) | (place == F.col("more"))
-    return F.col("epochs") + F.coalesce(part, F.lit(False)).cast("int")
+    return F.col("epochs") + F.coalesce(part & (F.col("rest") > 0), F.lit(False)).cast("int")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def sample(docs: DataFrame, copy: str = "copy") -> DataFrame:
     named = joined.select(
         "_doc", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"),
         F.coalesce(sampling_key(F.col("_doc.doc_id"), F.col("_size"), weight), F.lit(0.0)).alias("key"),
-        "_plan.epochs", "_plan.edge", "_plan.last", "_plan.more",
+        "_plan.epochs", "_plan.rest", "_plan.edge", "_plan.last", "_plan.more",
     )
     times = named.select("_doc", _times(buckets).cast("int").alias("times")).where("times > 0")
     taken = times.select("_doc", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("_copy"))

@@ -101,6 +101,25 @@ def test_the_sample_holds_what_the_mix_takes(spark):
     assert words == sum(r.taken for r in mixing.mix(docs).collect())
 
 
+def test_copies_of_empty_documents(spark):
+    """A source that is taken CAP times, one that is taken in part, and one without a word."""
+    rows = [(i, "" if i % 2 else "a word or two", "large") for i in range(400)] + [(1000 + i, None if i % 2 else "word", "small") for i in range(40)]
+    rows += [(2000 + i, "", "void") for i in range(20)]
+    docs = frame(spark, rows)
+    copies = {i: 0 for i, _, _ in rows}
+    for r in mixing.sample(docs).select("doc_id", "copy_").collect():
+        copies[r.doc_id] += 1
+    plan = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    for i, text, source in rows:
+        r = plan[i]
+        epochs = int(r.target // r.source_size) if r.source_size else 0
+        rest = r.target - epochs * r.source_size
+        assert r.taken == copies[i] * r.size
+        assert copies[i] in ((0,) if source == "void" else (epochs, epochs + 1) if rest > 0 else (epochs,))
+        assert copies[i] <= mixing.CAP
+    assert {copies[1000 + i] for i in range(40)} == {2} and {copies[i] for i in range(1, 400, 2)} == {1, 2}
+
+
 def test_sources_beyond_the_broadcast_are_salted(spark, monkeypatch):
     rows = corpus(300)
     expected = sorted(map(str, mixing.mix(frame(spark, rows)).collect()))
