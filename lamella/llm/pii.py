@@ -1,15 +1,17 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them.
 
-Base spans follow fixed patterns and always stay. Around them, wider candidates (numbers, long tokens, spelled-out
-addresses) are found. Regex, gazetteer, context and shape labelers vote on every candidate; the counts of each pattern
+Base spans follow fixed patterns and always stay. Around them, wider candidates (numbers, long tokens, what is assigned to
+a password or a key, spelled-out addresses) are found. Regex, gazetteer, context and shape labelers vote on every candidate; the counts of each pattern
 of votes over all documents go through expectation-maximisation, which estimates how reliable each labeler is, and a
-logistic span classifier is trained on the posteriors. A candidate outside the base is added if the classifier is sure.
+logistic span classifier is trained on the posteriors. A candidate outside the base is added where its
+probability is SURE or more, and nothing else decides.
 
 A pattern of votes is a small number, so what is gathered is a table of at most a few thousand counts, however many
 documents there are. Two rounds over the texts are needed only to redact; the spans themselves take one.
 
 Defined results: null text counts as empty and has no spans; an empty table has none; repeated documents each get a
-row; extra columns are never read by find(), and kept by redact().
+row; of wider candidates that overlap the first counts, then the longest, and none that overlaps a base span; very long
+texts are read whole; extra columns are never read by find(), and kept by redact().
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[0-9][0-9 ().-]{5,}[0-9]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+")
+_ASSIGNED = re.compile(r"(?i:password|passwd|secret|token|bearer|api[_-]?key)[\"']?(?: ?[:=] ?|[ ])[\"']?([A-Za-z0-9+/_-]{8,128})(?![A-Za-z0-9+/_-])")
+_RANDOM = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9_-]{32,}")
+_GROUPED = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[0-9]{2,4}[ .-]){3,5}[0-9]{2,4}")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}){1,5}")
 _BEFORE = re.compile(r"([A-Za-zÀ-ÿ-]{2,20})[\s\"'=:]*$")
 
@@ -95,12 +100,18 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
     return sorted(good, key=order), sorted(bad, key=order)
 
 
-def _votes(text: str, span: tuple[int, int, str], base: bool, failed: set) -> tuple[int, ...]:
+def _votes(text: str, span: tuple[int, int, str], failed: list) -> tuple[int, ...]:
     """Votes of the labelers on a span: 0 abstains, 1 against, 2 for."""
     a, b, kind = span
     body = text[a:b]
     digits = sum(map(body.count, "0123456789"))
-    regex = 2 if base else 1 if any(x < b and a < y for x, y, _ in failed) and kind == "number" and digits >= 14 else 0
+    if kind == "number":
+        regex = 1 if digits >= 14 and any(x < b and a < y for x, y, _ in failed) else 2 if _GROUPED.fullmatch(body) else 0
+    elif kind == "secret":
+        assigned = _ASSIGNED.search(text, max(0, a - 24), b)
+        regex = 2 if _RANDOM.fullmatch(body) or assigned and assigned.span(1) == (a, b) else 0
+    else:
+        regex = 2  # each has a pattern of its own
     word = _BEFORE.search(text, max(0, a - 40), a)
     gazetteer = 2 if word and word[1].lower() in _GAZETTEER[kind] else 0
     left, right = text[a - 1 : a], text[b : b + 1]
@@ -114,7 +125,7 @@ def _votes(text: str, span: tuple[int, int, str], base: bool, failed: set) -> tu
     elif kind == "phone":
         shape = 2 if digits >= 11 else 0
     elif kind == "secret":
-        shape = 2 if len(set(body)) >= 10 and 0.2 < digits / len(body) < 0.95 else 1
+        shape = 2 if len(set(body)) >= 8 and 0.2 < digits / len(body) < 0.95 else 1
     else:
         shape = 2 if 9 <= digits <= 12 and len(body) > digits else 1
     return regex, gazetteer, context, shape
@@ -131,6 +142,7 @@ def candidates(text: str) -> tuple[list, list[tuple[int, int, str, int]]]:
     wide = []
     if _DIGIT.search(text):
         wide += [(*m.span(), "secret") for m in _TOKEN.finditer(text) if re.search("[A-Za-z]", m[0]) and _DIGIT.search(m[0])]
+        wide += [(*m.span(1), "secret") for m in _ASSIGNED.finditer(text) if _DIGIT.search(m[1])]
         wide += [(*m.span(), "number") for m in _NUMBER.finditer(text)]
     if "at)" in text or "at]" in text:
         wide += [(*m.span(), "address") for m in _SPELLED.finditer(text)]
@@ -149,7 +161,7 @@ def candidates(text: str) -> tuple[list, list[tuple[int, int, str, int]]]:
         for span in spans:
             near = [f for f in failed if f[0] < span[1] and span[0] < f[1]] if not is_base else []
             code = KINDS.index(span[2])
-            for v in _votes(text, span, is_base, near):
+            for v in _votes(text, span, near):
                 code = 3 * code + v
             out.append((*span, code))
     return base, out
@@ -210,13 +222,8 @@ def classifier(counts: dict[int, int]) -> dict[int, float]:
 
 
 def accepted(counts: dict[int, int], sure: float = SURE) -> set[int]:
-    """Patterns outside the base that are added: the classifier is sure, a gazetteer or shape is for, none is against."""
-    found = set()
-    for code, p in classifier(counts).items():
-        votes = _features(code)[1]
-        if p >= sure and 1 not in votes and (votes[1] == 2 and votes[2] == 2):
-            found.add(code)
-    return found
+    """Patterns of kinds outside the base to which the classifier gives a probability of sure or more."""
+    return {code for code, p in classifier(counts).items() if p >= sure and not _is_base(code)}
 
 
 _SPANS = "array<struct<start:int,end:int,kind:int,code:int>>"
@@ -236,7 +243,7 @@ def _extracted(docs: DataFrame) -> DataFrame:
 
 
 def _is_base(code: int) -> bool:
-    return _features(code)[1][0] == 2
+    return _features(code)[0] < len(BASE_KINDS)
 
 
 def _counts(spans: DataFrame) -> dict[int, int]:

@@ -71,6 +71,34 @@ def test_spans_are_added_where_labelers_agree(spark):
     assert all(found[i] == "" for i in range(120, 180))
 
 
+def test_added_spans_are_those_of_sure_patterns(spark):
+    """Against the patterns and probabilities counted here, and precision and recall on what was planted."""
+    rng = np.random.default_rng(5)
+    word = lambda n=6: "".join(rng.choice(list("abcdefgh"), n))
+    hexes = lambda n: "".join(rng.choice(list("abcdef0123456789"), n))
+    docs, planted = [], []
+    for i in range(500):
+        kind = i % 5
+        secret = [hexes(40), f"{hexes(15)}9", f"{word()} [at] {word()} [dot] com", f"{word()}@{word()}.org", ""][kind]
+        lead = [f"{word()} ", "password=", f"{word()} ", ("mail ", f"{word()} ")[i % 2], f"{word()} in 19{rng.integers(10, 99)} or 1 000 {rng.integers(10**6, 10**7)} "][kind]
+        docs.append(f"{word()} {lead}{secret} {word()}")
+        start = docs[-1].index(secret) if secret else 0
+        planted.append({(start, start + len(secret))} if secret else set())
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame([(i, t, 0, 1) for i, t in enumerate(docs)], SCHEMA)).collect()}
+    counts = {}
+    for t in docs:
+        for *_, code in pii.candidates(t)[1]:
+            counts[code] = counts.get(code, 0) + 1
+    sure = {c for c, p in pii.classifier(counts).items() if p >= pii.SURE}
+    right = wrong = 0
+    for i, t in enumerate(docs):
+        spans = {tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s}
+        assert spans == {(a, b) for a, b, k, code in pii.candidates(t)[1] if k in PATTERNS or code in sure}
+        right += len(spans & planted[i])
+        wrong += len(spans - planted[i])
+    assert right >= 0.95 * 400 and wrong <= 0.02 * right
+
+
 def test_redaction(spark):
     docs = [(1, "mail a@b.com now", 16, 1), (2, None, 0, 1), (3, "no data", 7, 1), (4, "1.2.3.4 and +1 555 010 9999", 27, 1), (1, "mail a@b.com now", 16, 1)]
     rows = spark.createDataFrame(docs, SCHEMA)
