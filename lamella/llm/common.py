@@ -38,9 +38,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only if that is
+    unset in local mode, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="lamella-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
