@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -18,6 +21,8 @@ _ANNOTATIONS = {
 _SPARK_KEYS = "org.apache.spark."
 #: Key under which Spark's writer keeps the schema of a DataFrame.
 SPARK_SCHEMA = "org.apache.spark.sql.parquet.row.metadata"
+#: Footers that are read at the same time; opening one is waiting for storage.
+THREADS = 32
 
 
 @dataclass
@@ -26,6 +31,8 @@ class Footer:
     rows: int
     metadata: dict[str, str]
     created_by: str
+    #: The fields of the file's schema as the format writes them.
+    message: str = ""
     #: Of each row group: rows, and (path, codec, encodings, values, compressed and uncompressed bytes) of its columns.
     groups: list[tuple[int, list[tuple]]] = field(default_factory=list)
 
@@ -89,8 +96,8 @@ def _listed(repeated) -> dict:
     return {k: v for k, v in inner.items() if k not in ("optional", "repeated")}
 
 
-def read_footer(spark: SparkSession, file: str) -> Footer:
-    """The footer of one file. ValueError if it is no Parquet file."""
+def read_footer(spark: SparkSession, file: str, with_schema: bool = True) -> Footer:
+    """The footer of one file, its definition left empty on demand. ValueError if it is no Parquet file."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     hadoop = jvm.org.apache.parquet.hadoop
     try:
@@ -105,23 +112,32 @@ def read_footer(spark: SparkSession, file: str) -> Footer:
         about = footer.getFileMetaData()
         pairs = about.getKeyValueMetaData()
         groups = []
-        for block in footer.getBlocks():
+        for block in json.loads(hadoop.metadata.ParquetMetadata.toJSON(footer))["blocks"]:
             columns = [
-                (c.getPath().toDotString(), str(c.getCodec()), sorted(map(str, c.getEncodings())), c.getValueCount(), c.getTotalSize(), c.getTotalUncompressedSize())
-                for c in block.getColumns()
+                (".".join(c["path"]), c["codec"], sorted(c["encodings"]), c["valueCount"], c["totalSize"], c["totalUncompressedSize"])
+                for c in block["columns"]
             ]
-            groups.append((block.getRowCount(), columns))
+            groups.append((block["rowCount"], columns))
         return Footer(
-            definition=_declared(about.getSchema()),
+            definition=_declared(about.getSchema()) if with_schema else {},
             rows=sum(n for n, _ in groups),
             metadata={k: pairs[k] for k in pairs},
             created_by=about.getCreatedBy() or "",
+            message=about.getSchema().toString().partition("{")[2],
             groups=groups,
         )
     finally:
         reader.close()
 
 
+def read_footers(spark: SparkSession, files: list[str]) -> Iterator[tuple[str, Footer]]:
+    """(file, footer) in the order of files, THREADS at a time and only as many in memory; without definitions."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        for at in range(0, len(files), THREADS):
+            some = files[at : at + THREADS]
+            yield from zip(some, pool.map(lambda f: read_footer(spark, f, with_schema=False), some), strict=True)
+
+
 def user_metadata(footer: Footer) -> dict[str, str]:
     """A footer's keys and values, without those of Spark's own writer."""
     return {k: v for k, v in footer.metadata.items() if not k.startswith(_SPARK_KEYS)}
@@ -130,8 +146,8 @@ def user_metadata(footer: Footer) -> dict[str, str]:
 def row_groups(spark: SparkSession, files: list[str]):
     """(file, row_group, rows, column, codec, encodings, num_values, compressed, uncompressed) of the files' footers."""
     rows = []
-    for file in files:
-        for i, (n, columns) in enumerate(read_footer(spark, file).groups):
+    for file, footer in read_footers(spark, files):
+        for i, (n, columns) in enumerate(footer.groups):
             rows += [(file, i, n, *c) for c in columns]
     return spark.createDataFrame(
         rows, "file string, row_group int, rows long, column string, codec string, encodings array<string>, num_values long, compressed long, uncompressed long"

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lamella.operators.records import to_record
 from lamella.operators.schema import METADATA_KEY, Schema, declared, table_metadata
 from lamella.operators.shared import shared_path
-from lamella.sources.footer import SPARK_SCHEMA, Footer, data_files, read_footer, row_groups, user_metadata
+from lamella.sources.footer import SPARK_SCHEMA, Footer, data_files, read_footer, read_footers, row_groups, user_metadata
 from lamella.sources.intervals import stored_type, unpacked
 
 Columns = Sequence[str | Sequence[str]] | None
@@ -104,7 +104,11 @@ class Cursor:
 
 
 class Reader:
-    """A Parquet file, or a folder of them with one schema."""
+    """A Parquet file, or a folder of them with one schema.
+
+    Every file's footer is read on opening. ValueError names a file whose schema is not that of the first one (unless a
+    schema is given, by which all are read), that is no Parquet file, or that Spark would misread.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: Schema | None = None, int96: str = "refuse"):
         self.spark, self.path, self.closed = spark, path, False
@@ -112,13 +116,16 @@ class Reader:
         if not self.files:
             raise FileNotFoundError(f"no data files: {path}")
         self.footer: Footer = read_footer(spark, self.files[0])
+        self._given = schema
+        self._rows, self._metadata = 0, {}
+        self._take(self.files[0], self.footer)
+        for file, footer in read_footers(spark, self.files[1:]):
+            self._take(file, footer)
         self._inferred = self._spark_schema_of_files()
         own = self._inferred is not None and any(f.metadata and METADATA_KEY in f.metadata for f in self._inferred.fields)
         self._definition = declared(self._inferred) if own else self.footer.definition
-        self._given = schema
         if int96 == "refuse" and not own and (wide := self._integers_of_96_bits(self._definition)):
             raise ValueError(f"INT96 is read as a timestamp only (int96='timestamp'): {', '.join(wide)}")
-        self._refuse_misread()
         self.spark_schema = self._read_schema(own)
 
     def _spark_schema_of_files(self) -> T.StructType | None:
@@ -131,14 +138,24 @@ class Reader:
         except AnalysisException:  # TIME and INTERVAL of other writers need an explicit schema
             return None
 
-    def _refuse_misread(self) -> None:
+    def _take(self, file: str, footer: Footer) -> None:
+        """Checks one file and adds its rows and metadata; of a key with several values the first file's stays."""
+        if self._given is None and footer.message != self.footer.message:
+            raise ValueError(f"schema differs from that of {self.files[0]}: {file}")
+        self._refuse_misread(file, footer)
+        self._rows += footer.rows
+        self._metadata = user_metadata(footer) | self._metadata
+
+    def _refuse_misread(self, file: str, footer: Footer) -> None:
         """Spark's vectorized reader returns wrong bytes for delta-coded byte arrays in uncompressed pages."""
         if self.spark.conf.get("spark.sql.parquet.enableVectorizedReader") != "true":
             return
-        for _, columns in self.footer.groups:
+        for _, columns in footer.groups:
             for path, codec, encodings, *_ in columns:
                 if codec == "UNCOMPRESSED" and any(e.endswith("BYTE_ARRAY") and e.startswith("DELTA") for e in encodings):
-                    raise ValueError(f"{path} is delta-coded and uncompressed: set spark.sql.parquet.enableVectorizedReader to false")
+                    raise ValueError(
+                        f"{path} is delta-coded and uncompressed in {file}: set spark.sql.parquet.enableVectorizedReader to false"
+                    )
 
     def _integers_of_96_bits(self, definition: dict, above: str = "") -> list[str]:
         found = []
@@ -178,12 +195,12 @@ class Reader:
         return Cursor(self, columns)
 
     def row_count(self) -> int:
-        """Spark counts from the footers; no column is read."""
+        """The sum of the footers' counts, known since opening."""
         self.check_open()
-        return self.spark.read.schema(T.StructType([])).parquet(self.path).count()
+        return self._rows
 
     def metadata(self) -> dict[str, str]:
-        return user_metadata(self.footer) | table_metadata(self._inferred or T.StructType([]))
+        return self._metadata | table_metadata(self._inferred or T.StructType([]))
 
     def row_groups(self) -> DataFrame:
         """What the footers say of each row group and column."""
