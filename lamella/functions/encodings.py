@@ -204,6 +204,18 @@ def encode_pages(df: DataFrame, kind: str, value: str, page: str, order: str, en
     return chosen.groupBy("page").applyInPandas(run, "page long, num_values long, data binary")
 
 
+def decode_pages(pages: DataFrame, kind: str, result: str, encoding: str = "PLAIN", type_length: int | None = None) -> DataFrame:
+    """(page, place, value) from the pages of encode_pages(); result is the Spark type of a value. A page is one batch."""
+
+    def run(batches):
+        for pdf in batches:
+            for page, count, data in zip(pdf["page"], pdf["num_values"], pdf["data"], strict=True):
+                values = decode_values(kind, encoding, bytes(data), int(count), type_length)
+                yield pd.DataFrame({"page": page, "place": np.arange(len(values)), "value": values})
+
+    return pages.select("page", "num_values", "data").mapInPandas(run, f"page long, place long, value {result}")
+
+
 def encode_levels(levels, most: int, envelope: bool) -> bytes:
     """Repetition or definition levels of a page: RLE at the width of the highest level; nothing if that is 0."""
     return encode_rle(levels, most.bit_length(), envelope) if most else b""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,13 +94,29 @@ def column_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the row groups that a write with a limit made, from the footers; files are cut at the same place."""
+    """Row groups that a write with a limit made, from the footers of all its files: rows, and groups that break the
+    limit or are not full though others follow in their file."""
     path = shared_path(spark, "groups")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     flat = Schema({"o_orderkey": {"type": "INT64"}, "o_orderpriority": {"type": "UTF8"}})
-    write(rows, path, flat, row_group_size=GROUP_ROWS, compression="SNAPPY", single_file=True)
-    groups = open_file(spark, path).row_groups().where("column = 'o_orderkey'")
-    return groups.select(F.col("row_group").cast("long").alias("row_group"), F.col("num_values").alias("n_rows"))
+    write(rows, path, flat, row_group_size=GROUP_ROWS, compression="SNAPPY")
+    groups = open_file(spark, path).row_groups()
+    last = F.col("row_group") == F.max("row_group").over(W.partitionBy("file", "column"))
+    odd = (F.col("rows") > GROUP_ROWS) | (~last & (F.col("rows") != GROUP_ROWS))
+    return groups.withColumn("odd", odd.cast("long")).groupBy("column").agg(F.sum("num_values").alias("n_rows"), F.sum("odd").alias("n_odd"))
+
+
+def file_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codecs and value encodings in a folder of files that were written in several ways, from their footers."""
+    path = shared_path(spark, "encodings")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    schema = Schema({"p_partkey": {"type": "INT64"}, "p_name": {"type": "UTF8"}})
+    ways = {"v1": {"compression": "GZIP", "page_v2": False}, "v2": {"compression": "SNAPPY", "page_v2": True}, "none": {"compression": "UNCOMPRESSED", "page_v2": False}}
+    for name, options in ways.items():
+        write(rows, f"{path}/{name}", schema, dictionary=False, **options)
+    found = open_file(spark, path).row_groups().withColumn("way", F.element_at(F.split("file", "/"), -2))
+    of_values = F.filter("encodings", lambda e: ~e.isin("RLE", "BIT_PACKED"))
+    return found.groupBy("way", "column", "codec", F.array_join(of_values, ",").alias("encoding")).agg(F.sum("num_values").alias("num_values"))
 
 
 def row_group_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,15 +370,76 @@ def rle_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the PLAIN bytes of each page of line numbers."""
-    pages = encodings.encode_pages(_paged(spark, sf_dir), "INT32", "l_linenumber", "page", "n")
+    return _digests(encodings.encode_pages(_paged(spark, sf_dir), "INT32", "l_linenumber", "page", "n"))
+
+
+def _digests(pages: DataFrame) -> DataFrame:
     return pages.select("page", "num_values", F.sha2(F.hex("data").cast("binary"), 256).alias("sha256"))
 
 
+#: Stored values whose pages of PLAIN bytes are shown, and the length of a fixed one.
+PLAIN_VALUES = {
+    "BOOLEAN": ("value > 100", None), "INT32": ("cast(user_id - 50 as int)", None), "INT64": ("event_id * -3000000000", None),
+    "INT96": ("5 - event_id", None), "FLOAT": ("cast(value as float)", None), "DOUBLE": ("value - 100", None),
+    "BYTE_ARRAY": ("cast(props as binary)", None), "FIXED_LEN_BYTE_ARRAY": ("cast(lpad(event_id, 12, '0') as binary)", 12),
+}
+
+
+def _plain_of(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value, length = PLAIN_VALUES[kind]
+        rows = table(spark, sf_dir, "events").select("event_id", F.expr(f"event_id div {PAGE_VALUES}").alias("page"), F.expr(value).alias("v"))
+        return _digests(encodings.encode_pages(rows, kind, "v", "page", "event_id", type_length=length))
+
+    return run
+
+
+def _rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of runs of 100 values of three bits; the rest of a page may be too short for a run and is bit-packed."""
+    value = F.expr(f"n % {PAGE_VALUES} div 100 % 5").cast("long")
+    return encodings.encode_pages(_paged(spark, sf_dir).withColumn("v", value), "INT64", "v", "page", "n", "RLE", 3)
+
+
+def rle_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the RLE bytes of each page, with their length in front."""
+    return _digests(_rle(spark, sf_dir))
+
+
+def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of those bytes again."""
+    values = encodings.decode_pages(_rle(spark, sf_dir), "INT64", "long", "RLE", 3)
+    return values.groupBy("page", "value").agg(F.count(F.lit(1)).alias("n_values"), F.max("place").alias("last"))
+
+
+def packed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the RLE bytes of pages without runs: bit-packed groups of eight values."""
+    rows = _paged(spark, sf_dir).withColumn("v", (F.col("n") % PAGE_VALUES % 7).cast("long"))
+    return _digests(encodings.encode_pages(rows, "INT64", "v", "page", "n", "RLE", 3))
+
+
+def convert_float(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = convert.to_primitive("FLOAT", F.col("v"), T.DoubleType(), mode=convert.PERMISSIVE)
+    return _events(spark, sf_dir, v=F.col("value") / 3).select("event_id", stored.cast("double").alias("stored"))
+
+
+def convert_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = convert.to_primitive("BYTE_ARRAY", F.col("v"), T.StringType())
+    return _events(spark, sf_dir, v=F.concat("event_type", F.lit(" \u00e9"))).select("event_id", F.hex(stored).alias("stored"))
+
+
+#: Bytes of a compressed value that its format fixes: first bytes, and the length of the text.
+FRAMES = {
+    "UNCOMPRESSED": {"head": "packed"}, "GZIP": {"head": "substring(packed, 1, 3)", "size": "substring(packed, -4, 4)"},
+    "SNAPPY": {"head": "substring(packed, 1, 1)"}, "BROTLI": {},
+}
+
+
 def _deflated(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _events(spark, sf_dir, v=F.concat("props", F.lit(" "), "event_type"))
-        packed = compression.deflate(method, F.col("v").cast("binary"))
-        return rows.select("event_id", compression.inflate(method, packed).cast("string").alias("text"))
+        rows = rows.withColumn("packed", compression.deflate(method, F.col("v").cast("binary")))
+        text = compression.inflate(method, F.col("packed")).cast("string").alias("text")
+        return rows.select("event_id", text, *[F.hex(F.expr(v)).alias(k) for k, v in FRAMES[method].items()])
 
     return run
 
@@ -382,13 +460,15 @@ QUERIES = {
         nest_items, schema_levels, metadata_roundtrip, shred_required, shred_optional, shred_repeated, shred_arrays_in_arrays,
         materialize_roundtrip, materialize_arrays_in_arrays, stream_sink, convert_text, conversion_errors, convert_double, convert_boolean,
         convert_utf8, fixed_length, json_stringify, json_parse, bson_bytes, convert_date, convert_timestamps, interval_pack, bit_width,
-        plain_sizes, rle_runs, rle_expand, plain_pages, conform_shapes,
+        plain_sizes, rle_runs, rle_expand, plain_pages, rle_pages, rle_decode, packed_pages, conform_shapes, file_encodings, convert_float,
+        convert_bytes,
     )},
     "shred_group_required": _shred_items("l_quantity"),
     "shred_group_optional": _shred_items("l_note"),
     **{f"roundtrip_{m.lower()}": _roundtrip(compression=m) for m in ("UNCOMPRESSED", "GZIP", "SNAPPY")},
     "roundtrip_v2": _roundtrip(compression="SNAPPY", page_v2=True),
     "roundtrip_v1": _roundtrip(compression="SNAPPY", page_v2=False, dictionary=False, row_group_size=1000, page_size=4096),
+    **{f"plain_{k.lower()}": _plain_of(k) for k in PLAIN_VALUES},
     **{f"deflate_{m.lower()}": _deflated(m) for m in ("UNCOMPRESSED", "GZIP", "SNAPPY", "BROTLI")},
 }
 

@@ -20,6 +20,22 @@ def _little(number: str) -> str:
     return " || ".join(f"substr({digits}, {i}, 2)" for i in (7, 5, 3, 1))
 
 
+def _reversed(digits: str, size: int) -> str:
+    """Hexadecimal digits of size bytes, last byte first."""
+    return " || ".join(f"substr({digits}, {2 * i + 1}, 2)" for i in reversed(range(size)))
+
+
+def _varint(number: str) -> str:
+    """Hexadecimal digits of a number below 2^14 in groups of seven bits."""
+    number = f"({number})"
+    return f"CASE WHEN {number} < 128 THEN printf('%02X', {number}) ELSE printf('%02X', {number} % 128 + 128) || printf('%02X', {number} // 128) END"
+
+
+def _plain_sql(value: str) -> str:
+    return f"""SELECT event_id // 8192 AS page, count(*) AS num_values, sha256(string_agg({value}, '' ORDER BY event_id)) AS sha256
+FROM events GROUP BY 1"""
+
+
 def converted_sql(kind: str, spread: float) -> str:
     of = logical(kind)
     return f"""SELECT event_id, CASE WHEN trunc(v) BETWEEN {of.low} AND {of.high} THEN trunc(v)::BIGINT END AS stored
@@ -56,7 +72,9 @@ SQL: dict[str, str] = {
     "column_value_counts": """SELECT 'vec_id' AS path, count(*) AS num_values FROM embeddings
 UNION ALL SELECT 'embedding', sum(greatest(len(embedding), 1))::BIGINT FROM embeddings""",
     "row_group_layout": f"SELECT n // 4096 AS row_group, count(*) AS n_rows, sum(l_linenumber)::BIGINT AS lines FROM ({_NUMBERED}) GROUP BY 1",
-    "footer_values": "SELECT n // 4096 AS row_group, count(*) AS n_rows FROM (SELECT row_number() OVER () - 1 AS n FROM orders) GROUP BY 1",
+    "footer_values": """SELECT unnest(['o_orderkey', 'o_orderpriority']) AS "column", n AS n_rows, 0::BIGINT AS n_odd FROM (SELECT count(*) AS n FROM orders)""",
+    "file_encodings": """SELECT way, c AS "column", codec, CASE WHEN way <> 'v2' THEN 'PLAIN' WHEN c = 'p_partkey' THEN 'DELTA_BINARY_PACKED' ELSE 'DELTA_BYTE_ARRAY' END AS encoding, n AS num_values
+  FROM (VALUES ('v1', 'GZIP'), ('v2', 'SNAPPY'), ('none', 'UNCOMPRESSED')) AS w(way, codec), (VALUES ('p_partkey'), ('p_name')) AS k(c), (SELECT count(*) AS n FROM part)""",
     "cursor_page": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "cursor_rewind": "SELECT r_regionkey::BIGINT AS r_regionkey, r_name, true AS same FROM region",
     "nest_items": f"""SELECT o_orderkey, coalesce(string_agg(CASE WHEN l_orderkey IS NOT NULL THEN
@@ -102,6 +120,30 @@ UNION ALL SELECT 'embedding', sum(greatest(len(embedding), 1))::BIGINT FROM embe
     "conform_shapes": """SELECT event_id, event_type AS kinds, user_id AS one, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 2 END::BIGINT AS n,
   event_id % 2 = 0 AS missing FROM events""",
     **{f"roundtrip_{m}": _PART for m in ("uncompressed", "gzip", "snappy", "v1", "v2")},
-    **{f"deflate_{m}": _DEFLATED for m in ("uncompressed", "gzip", "snappy", "brotli")},
+    "convert_float": "SELECT event_id, (value / 3)::FLOAT::DOUBLE AS stored FROM events",
+    "convert_bytes": "SELECT event_id, hex(encode(event_type || ' é')) AS stored FROM events",
+    "plain_boolean": f"""SELECT page, sum(c)::BIGINT AS num_values, sha256(string_agg(printf('%02X', byte), '' ORDER BY g)) AS sha256 FROM (
+  SELECT event_id // 8192 AS page, (event_id - f) // 8 AS g, count(*) AS c, sum(CASE WHEN value > 100 THEN 1 << ((event_id - f) % 8) ELSE 0 END)::BIGINT AS byte
+  FROM (SELECT *, min(event_id) OVER (PARTITION BY event_id // 8192) AS f FROM events) GROUP BY ALL) GROUP BY page""",
+    "plain_int32": _plain_sql(_reversed("right(printf('%016X', (user_id - 50)::BIGINT), 8)", 4)),
+    "plain_int64": _plain_sql(_reversed("printf('%016X', event_id * -3000000000)", 8)),
+    "plain_int96": _plain_sql(_reversed("printf('%016X', 5 - event_id)", 8) + " || CASE WHEN event_id > 5 THEN 'FFFFFFFF' ELSE '00000000' END"),
+    "plain_float": _plain_sql(_reversed("printf('%08X', value::FLOAT::BIT::INT)", 4)),
+    "plain_double": _plain_sql(_reversed("printf('%016X', (value - 100)::BIT::BIGINT)", 8)),
+    "plain_byte_array": _plain_sql(f"{_little('strlen(props)')} || hex(encode(props))"),
+    "plain_fixed_len_byte_array": _plain_sql("hex(encode(lpad(event_id::VARCHAR, 12, '0')))"),
+    "rle_pages": f"""SELECT page, sum(c)::BIGINT AS num_values, sha256(any_value({_little("total")}) || string_agg(piece, '' ORDER BY run)) AS sha256 FROM (
+  SELECT *, (sum(length(piece)) OVER (PARTITION BY page) // 2)::BIGINT AS total FROM (
+    SELECT page, run, c, CASE WHEN c >= 8 THEN {_varint("2 * c")} || printf('%02X', run % 5) ELSE '03' || {_reversed("printf('%06X', packed)", 3)} END AS piece FROM (
+      SELECT n // 8192 AS page, n % 8192 // 100 AS run, count(*) AS c, sum((n % 8192 // 100 % 5) << (3 * (n % 8192 % 100 % 8)))::BIGINT AS packed
+      FROM ({_NUMBERED}) GROUP BY 1, 2))) GROUP BY page""",
+    "rle_decode": f"""SELECT n // 8192 AS page, n % 8192 // 100 % 5 AS value, count(*) AS n_values, max(n % 8192) AS last FROM ({_NUMBERED}) GROUP BY 1, 2""",
+    "packed_pages": f"""SELECT page, sum(c)::BIGINT AS num_values, sha256(any_value({_little("groups * 3 + CASE WHEN groups < 64 THEN 1 ELSE 2 END")}) || any_value({_varint("2 * groups + 1")}) || string_agg({_reversed("printf('%06X', packed)", 3)}, '' ORDER BY g)) AS sha256 FROM (
+  SELECT *, count(*) OVER (PARTITION BY page) AS groups FROM (
+    SELECT n // 8192 AS page, n % 8192 // 8 AS g, count(*) AS c, sum((n % 8192 % 7) << (3 * (n % 8)))::BIGINT AS packed FROM ({_NUMBERED}) GROUP BY 1, 2)) GROUP BY page""",
+    "deflate_uncompressed": f"SELECT *, hex(encode(text)) AS head FROM ({_DEFLATED})",
+    "deflate_gzip": f"SELECT *, '1F8B08' AS head, {_little('strlen(text)')} AS size FROM ({_DEFLATED})",
+    "deflate_snappy": f"SELECT *, printf('%02X', strlen(text)) AS head FROM ({_DEFLATED})",
+    "deflate_brotli": _DEFLATED,
 }
 SQL["rle_expand"] = f"SELECT page, value, sum(run_length)::BIGINT AS n_values, max(run) AS last_run FROM ({SQL['rle_runs']}) GROUP BY page, value"
