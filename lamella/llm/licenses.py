@@ -1,15 +1,20 @@
 """License scans: phrases, and an exact set-similarity join of text blocks against license templates.
 
-A block is a line of a document; its tokens are its distinct words. A block meets a template if at least THRESHOLD of
-the template's distinct words are in the block. Tokens are ordered by how many documents of the whole corpus hold them,
-rarest first. A block and a template that meet share a token within both prefixes of that order, so only prefix tokens
-are joined; length and positional filters drop pairs that cannot reach the threshold, and the rest is counted exactly.
-
-Tokens outside all templates can never match, so blocks carry template tokens only. The frequencies are counts over all
-documents, but of at most as many tokens as the templates have. DataFrame functions only.
+A block is a window of words: for a template of m words (repeats counted) the windows start at every m-th word and hold
+2 * m words, wherever lines end. So every stretch of m words of a text lies in a block, a template broken over lines
+or behind comment signs too, while words scattered over a long text do not add up. A block's tokens are its distinct
+words; it meets a template of its own m if at least THRESHOLD of the template's distinct words are in it. Tokens are
+ordered by how many documents of the whole corpus hold them, rarest first. A block and a template that meet share a
+token within both prefixes of that order, so only prefix tokens are joined; length and positional filters drop pairs
+that cannot reach the threshold, and the rest is counted exactly.
+
+Tokens outside all templates can never match, so blocks carry template tokens only, and only documents that hold
+THRESHOLD of a template's words at all are cut into its blocks. The frequencies are counts over all documents, but of at
+most as many tokens as the templates have. DataFrame functions only.
 
 Defined results: null text counts as empty and has no words, places or labels; a document with a phrase scores 1, else
-its best containment among templates met, else 0; repeated documents each get a row; extra columns are never read.
+its best containment among templates met, else 0; of equal containments any gives that score, and every label met is
+named; very long texts give one block to m words; repeated documents each get a row; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -34,15 +39,23 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 )
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def template_tokens(text: str) -> list[str]:
+def template_words(text: str) -> list[str]:
     low = text.translate(str.maketrans(_UPPER, _LOWER))
-    return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def template_tokens(text: str) -> list[str]:
+    return list(dict.fromkeys(template_words(text)))
 
 
 def least_shared(tokens: list, threshold: float) -> int:
@@ -74,31 +87,49 @@ def _places(line: Column, words: Column, phrase: str) -> Column:
     return F.when(inside, found).otherwise(F.array().cast("array<int>"))
 
 
+def _blocks(words: Column, tokens: Column, vocabulary: list[str], templates, threshold: float) -> Column:
+    """Blocks (m, tokens) of a document for the templates whose words it holds, those that can reach a threshold."""
+    least: dict[int, int] = {}
+    held: dict[int, Column] = {}
+    for _, text in templates:
+        mine = template_tokens(text)
+        if not mine:
+            continue
+        m, needed = len(template_words(text)), least_shared(mine, threshold)
+        least[m] = min(least.get(m, needed), needed)
+        here = F.size(F.array_intersect(tokens, _strings(mine))) >= needed
+        held[m] = held[m] | here if m in held else here
+
+    def of(m: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - m, F.lit(1)), F.lit(m))
+        cut = F.transform(starts, lambda s: F.array_intersect(F.slice(words, s, 2 * m), _strings(vocabulary)))
+        enough = F.array_distinct(F.filter(cut, lambda t: F.size(t) >= least[m]))
+        found = F.transform(enough, lambda t: F.struct(F.lit(m).alias("m"), t.alias("tokens")))
+        return F.when(held[m], found).otherwise(F.array().cast("array<struct<m:int,tokens:array<string>>>"))
+
+    return F.concat(*[of(m) for m in sorted(held)]) if held else F.array().cast("array<struct<m:int,tokens:array<string>>>")
+
+
 def scanned(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One pass over the texts: counts, places, the template tokens of the document, and of each line that has enough."""
-    token_lists = [template_tokens(t) for _, t in templates]
-    vocabulary = sorted({w for t in token_lists for w in t})
-    least = min((least_shared(t, threshold) for t in token_lists if t), default=1 << 30)
+    """One pass over the texts: counts, places, the template tokens of the document, and its blocks."""
+    vocabulary = sorted({w for _, t in templates for w in template_tokens(t)})
     words = F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " "))
     held = docs.select(F.col("doc_id").cast("long"), "text", _plain(F.col("text")).alias("line")).select(
         "doc_id", "text", "line", words.alias("words")
     )
     shared = F.array_intersect("words", _strings(vocabulary))
-    lines = F.transform(
-        F.split("text", "\n"), lambda t: F.array_intersect(F.split(_plain(t), " "), _strings(vocabulary))
-    )
     places = [_places(F.col("line"), F.col("words"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)]
     return (
         held.withColumn("tokens", shared)
         .select(
             "doc_id", F.xxhash64("text").alias("h"), F.size("words").cast("long").alias("n_words"), *places, "tokens",
-            F.when(F.size("tokens") >= least, F.filter(lines, lambda b: F.size(b) >= least)).alias("blocks"),
+            _blocks(F.col("words"), F.col("tokens"), vocabulary, templates, threshold).alias("blocks"),
         )
     )
 
 
 def containment_join(blocks: DataFrame, counts: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """blocks with `tokens` (distinct words) to their other columns, label and containment, a row per template met.
+    """blocks (`m`, `tokens`: distinct words) to their other columns, label and containment, a row per template of m words met.
 
     counts holds the frequencies of template tokens; any order gives the same pairs, rarest first gives the fewest
     candidates.
@@ -107,26 +138,26 @@ def containment_join(blocks: DataFrame, counts: dict[str, int], templates=TEMPLA
     token_lists = [template_tokens(t) for _, t in templates]
     order = sorted({w for t in token_lists for w in t}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    others = [c for c in blocks.columns if c != "tokens"]
+    others = [c for c in blocks.columns if c not in ("m", "tokens")]
     values = []
-    for (label, _), tokens in zip(templates, token_lists, strict=True):
+    for (label, text), tokens in zip(templates, token_lists, strict=True):
         ranks, least = sorted(rank[w] for w in tokens), least_shared(tokens, threshold)
         for i, r in enumerate(ranks[: len(ranks) - least + 1]):
-            values.append(f"({r}, {i}, '{label}', {least}, array({', '.join(map(str, ranks))}))")
+            values.append(f"({len(template_words(text))}, {r}, {i}, '{label}', {least}, array({', '.join(map(str, ranks))}))")
     if not values:
         return blocks.select(*others, F.lit("").alias("label"), F.lit(0.0).alias("containment")).where("false")
-    prefixes = spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t(token, i, label, least, ranks)")
+    prefixes = spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t(m, token, i, label, least, ranks)")
     smallest = min(least_shared(t, threshold) for t in token_lists if t)
     number = F.transform(
         F.array_intersect("tokens", _strings(order)), lambda w: (F.array_position(_strings(order), w) - 1).cast("int")
     )
-    ranked = blocks.select(F.struct(*others).alias("of"), F.array_sort(number).alias("mine"))
+    ranked = blocks.select(F.struct(*others).alias("of"), "m", F.array_sort(number).alias("mine"))
     short = F.slice("mine", 1, F.greatest(F.size("mine") - smallest + 1, F.lit(0)))
-    own = ranked.where(F.size("mine") >= smallest).select("of", "mine", F.posexplode(short).alias("j", "token"))
+    own = ranked.where(F.size("mine") >= smallest).select("of", "m", "mine", F.posexplode(short).alias("j", "token"))
     reach = F.least("i", "j") + 1 + F.least(F.size("ranks") - F.col("i"), F.size("mine") - F.col("j")) - 1
     common = F.size(F.array_intersect("mine", "ranks"))
     return (
-        own.join(F.broadcast(prefixes), "token")  # a constant of the code: a row per prefix token of a template
+        own.join(F.broadcast(prefixes), ["m", "token"])  # a constant of the code: a row per prefix token of a template
         .where(F.size("mine") >= F.col("least"))  # length
         .where(reach >= F.col("least"))  # position
         .withColumn("common", common)
@@ -140,7 +171,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = stored(scanned(docs, templates, threshold), "licenses")
     counts = {r.token: r["count"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()}
-    blocks = rows.where(F.size("blocks") > 0).select("doc_id", "h", F.explode("blocks").alias("tokens")).distinct()
+    blocks = rows.where(F.size("blocks") > 0).select("doc_id", "h", F.inline("blocks")).distinct()
     met = (
         containment_join(blocks, counts, templates, threshold)
         .groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g"))

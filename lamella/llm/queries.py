@@ -86,9 +86,11 @@ _WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
 def _op8_sql() -> str:
-    """Phrases by their places; templates by the share of their words in a line, against every line."""
+    """Phrases by their places; templates by the share of their words in windows, each word standing in two."""
     literal = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    templates = ", ".join(f"('{label}', {literal(licenses.template_tokens(text))})" for label, text in licenses.TEMPLATES)
+    templates = ", ".join(
+        f"({i}, '{label}', {len(licenses.template_words(text))}, {literal(licenses.template_tokens(text))})" for i, (label, text) in enumerate(licenses.TEMPLATES)
+    )
     places = " UNION ALL ".join(
         f"SELECT rid, i - 1 AS place, '{label}' AS label FROM p WHERE "
         + " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split(" ")))
@@ -96,13 +98,15 @@ def _op8_sql() -> str:
     )
     firsts = ", ".join(f"'{phrase.split(' ')[0]}'" for phrase, _ in licenses.PHRASES)
     return f"""
-WITH t(label, tokens) AS (VALUES {templates}),
+WITH t(no, label, m, tokens) AS (VALUES {templates}),
+k AS (SELECT no, label, m, len(tokens) AS most, unnest(tokens) AS word FROM t),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
 p AS (SELECT rid, w, i FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN ({firsts})),
 b AS ({places}),
 base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS named FROM b GROUP BY rid),
-l AS (SELECT rid, list_distinct({_WORDS.format(_LOW.format("line"))}) AS mine FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)),
-m AS (SELECT rid, label, len(list_intersect(mine, tokens)) AS common, len(tokens) AS most FROM l CROSS JOIN t),
+v AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+n AS (SELECT rid, no, label, most, word, unnest([i // m, i // m - 1]) AS block FROM v JOIN k USING (word)),
+m AS (SELECT rid, label, count(DISTINCT word) AS common, most FROM n WHERE block >= 0 GROUP BY rid, no, label, most, block),
 met AS (SELECT rid, list(DISTINCT label) AS found, max(common / most) AS best FROM m
         WHERE common >= greatest(1, ceil({licenses.THRESHOLD} * most - 1e-9)) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

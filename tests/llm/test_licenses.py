@@ -20,9 +20,11 @@ def brute(docs, templates=licenses.TEMPLATES, threshold=licenses.THRESHOLD):
         w = words(text)
         places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
         met = []
-        for line in (text or "").split("\n"):
-            have = set(words(line))
-            met += [(len(have & set(words(t))) / len(set(words(t))), label) for label, t in templates]
+        for label, t in templates:
+            m = len(words(t))
+            for at in range(0, max(len(w), 1), m):
+                have = set(w[at : at + 2 * m])
+                met.append((len(have & set(words(t))) / len(set(words(t))), label))
         met = [(c, label) for c, label in met if c >= threshold - 1e-12]
         at = [i for i, _ in places]
         base = sorted({label for _, label in places})
@@ -39,6 +41,7 @@ def cases():
     for i, (_, t) in enumerate(licenses.TEMPLATES):
         w = t.split()
         docs += [(100 + i, t), (200 + i, f"before\n{' '.join(w[: max(1, len(w) * 9 // 10)]).upper()}!\nafter"), (300 + i, " ".join(w[: len(w) // 2])), (400 + i, "\n".join(w))]
+        docs += [(600 + i, "foo " * i + "\n# ".join(" ".join(w[j : j + 4]) for j in range(0, len(w), 4)) + " bar" * 3), (700 + i, " foo foo foo foo ".join(w))]
     docs += [(500, None), (501, ""), (502, "CC-BY cc by CC  by"), (503, "general public\nlicense"), (504, "All rights, reserved. all all rights reserved"), (505, "successby ccby cc bye")]
     docs += [(506, "foo " * 150_000 + "all rights reserved"), (None, "Released under the MIT License"), (None, "cc by"), (502, "CC-BY cc by CC  by"), (507, "\x00\x7f \t")]
     return docs
@@ -75,3 +78,20 @@ def test_small_tables(spark, rows):
 def test_no_python_on_the_main_path(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "cc by", "x", 1, 2)], DOCS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_templates_broken_over_lines_are_found_wherever_they_stand(spark):
+    docs, wanted = [], {}
+    for i, (label, t) in enumerate(licenses.TEMPLATES):
+        w = t.split()
+        for before in range(0, 60, 7):
+            docs.append((100 * i + before, "foo " * before + "\n * ".join(" ".join(w[j : j + 3]) for j in range(0, len(w), 3)) + " bar" * before))
+            wanted[100 * i + before] = label
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(*d, "x", 1, 2) for d in docs], DOCS)).collect()}
+    assert all(label in found[d].split(",") for d, label in wanted.items())
+
+
+def test_scattered_words_of_a_long_text_are_no_template(spark):
+    w = words(licenses.TEMPLATES[8][1])
+    rows = spark.createDataFrame([(1, (" foo" * 50 + " ").join(w), "x", 1, 2)], DOCS)
+    assert licenses.scan(rows).first().labels == ""
