@@ -9,12 +9,12 @@ Rows of a key never meet as pairs: in each task, and then over all, rows of a ke
 the first of them, and these firsts to the first row of the key. So a passage that stands in a third of all documents
 leaves a task as one row, and links are linear in rows. The links of two documents are merged where they overlap, both
 slices of text are fetched, and every stretch is verified: at least SPAN shingles on either side, and a Jaccard
-similarity of their shingle sets of at least SIMILARITY. Equal texts are linked whole, once per task. Rows whose link
-does not verify are then held against all that stand for others in their key, until each is verified or alone.
+similarity of their shingle sets of at least SIMILARITY. Equal texts are linked whole, once per task.
 
-Candidates are found by hashing, so a passage just above the threshold can be missed: two of two minima agree in one of
-three bands with probability 1 - (1 - s**2)**3 at a single place, 0.95 for s = 0.8, and passages longer than SPAN have
-several. Equal passages of SPAN tokens or more always share keys.
+Windows are built only where a passage can be: where SIMILARITY of SPAN shingles are in several texts (repeated). What
+hashing and stars miss is completed exactly (_completed): each window's rarest shingles are looked up in all texts of other
+classes, and every pair that holds as many as a passage needs is verified on its whole texts. So texts of different classes
+have no passage in common by matches(), but links inside a class are not all pairs. 64-bit hashes stand for shingles.
 
 Defined results: null and shorter texts have no passages; repeats inside one document are not links; rows that agree in
 doc_id and text count once; equal hashes inside a text belong to the first node; a long text is read whole, a piece of
@@ -24,13 +24,13 @@ it fetched at a link only; null doc_ids can be part of a link, but have no compo
 from __future__ import annotations
 
 import math
-from array import array
 from collections import defaultdict
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _ALNUM, alnum_words, as_bytes, chunks, map_arrow, stored
@@ -38,6 +38,7 @@ from .components import components
 
 SHINGLE, SPAN, SIMILARITY, BANDS = 5, 46, 0.8, 3
 MARGIN = 512
+_LONG = 2**31 - 1 - MARGIN
 _WORDS = SPAN + SHINGLE - 1
 _BYTES_AT_ONCE, _ROWS_AT_ONCE = 1 << 21, 1 << 21
 _FLAT = np.frombuffer(_ALNUM, dtype=np.uint8)
@@ -130,8 +131,8 @@ def joined(one: CompactWindows, two: CompactWindows) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(v) for v in zip(*pairs, strict=True))
 
 
-def windows(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Rows (doc, key, sub, start, end: bytes in the text) of all bands; per text a digest of its words, and their number."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all words of the texts: hash, number of the text, first byte and the byte after it; and the texts' offsets and counts."""
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     offset = np.concatenate([[0], np.cumsum(sizes)])
     flat = _FLAT[np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)]
@@ -142,22 +143,49 @@ def windows(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.astype(np.uint64) * up[: len(flat)])])
     word = _mix((prefix[last] - prefix[first]) * down[first])
     doc = np.searchsorted(offset, first, side="right") - 1
-    counts = np.bincount(doc, minlength=len(texts))
-    place = np.arange(len(word)) - np.concatenate([[0], np.cumsum(counts)])[doc]
+    return word, doc, first, last, offset, np.bincount(doc, minlength=len(texts))
+
+
+def _shingles(word: np.ndarray) -> np.ndarray:
+    n = max(len(word) - SHINGLE + 1, 0)
+    token = word[:n] * _ODD[0]
+    for k in range(1, SHINGLE):
+        token = token + word[k : n + k] * _ODD[k]
+    return _mix(token)
+
+
+def _places(low: list[int], df: list[np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of shingles, from start[i] for text i, with what df says of the places from low[i] on: the first places of
+    windows that can be of a passage, and how many texts hold a shingle, 0 where df is silent."""
+    held = np.zeros(int(start[-1]), dtype=np.int64)
+    can = np.zeros(int(start[-1]), dtype=bool)
+    for at, lo, v in zip(start.tolist(), low, df, strict=False):
+        held[at + lo : at + lo + len(v)] = v
+        total = np.concatenate([[0], np.cumsum(v > 1)])
+        can[at + lo : at + lo + len(v) - SPAN + 1] = total[SPAN:] - total[:-SPAN] >= _LEVELS[0]
+    return can, held
+
+
+def windows(texts: list[bytes], low: list[int] | None = None, df: list[np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Rows (doc, key, sub, start, end: bytes in the text) of all bands, where low and df, if given, allow passages; per
+    text a digest of its words, and their number."""
+    word, doc, first, last, offset, counts = _words(texts)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    place = np.arange(len(word)) - begin[doc]
     digest = np.zeros(len(texts), dtype=np.uint64)
     np.add.at(digest, doc, _mix(word + place.astype(np.uint64) * _ODD[40]))
     out = {k: [np.zeros(0, t)] for k, t in (("doc", np.int64), ("key", np.uint64), ("sub", np.int64), ("start", np.int64), ("end", np.int64))}
     n = len(word) - _WORDS + 1
     if n > 0:
-        token = word[: len(word) - SHINGLE + 1] * _ODD[0]
-        for k in range(1, SHINGLE):
-            token = token + word[k : len(word) - SHINGLE + 1 + k] * _ODD[k]
-        token = _mix(token)
+        token = _shingles(word)
         inside = doc[:n] == doc[_WORDS - 1 :]  # all words of the window are of one text
+        if df is not None:
+            inside &= _places(low, df, begin)[0][:n]
         fresh = np.ones(n, dtype=bool)
         fresh[1:] = (doc[1:n] != doc[: n - 1]) | ~inside[:-1]
+        run = np.cumsum(fresh & inside)  # windows on either side of a place without any have nothing in common
         least = [_sliding_min(_mix(token * _ODD[8 + j]), SPAN) for j in range(2 * BANDS)]
-        trees = [CompactWindows(v, inside, fresh, doc[:n]) for v in least]
+        trees = [CompactWindows(v, inside, fresh, run) for v in least]
         for b in range(BANDS):
             one, two, other = trees[2 * b], trees[2 * b + 1], least[(2 * b + 2) % (2 * BANDS)]
             i, j, start, stop = joined(one, two)
@@ -170,6 +198,150 @@ def windows(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     return {k: np.concatenate(v) for k, v in out.items()}, digest, counts
 
 
+#: Shingles sent off at once, and bytes of input to a bucket of them.
+_TOKENS_AT_ONCE, _BYTES_A_BUCKET = 1 << 21, 1 << 21
+_PARCEL = ["bucket", "parcel", "kind", "data"]
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of uint32 as planes of bytes, most of which are zero."""
+    return b"".join(v.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for v in columns)
+
+
+def _unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(columns, 4, -1)
+    return [np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in planes]
+
+
+def _parcels(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names=_PARCEL)
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """Texts (d) with places where a passage can be, and from place low to the last of these: how many texts hold the
+    shingle there (df: packed). Others have none: a side of a passage has a window of SPAN shingles of which SIMILARITY
+    are in another text.
+
+    Shingles go to buckets as arrays, 40 bits of each, and are sorted there; what is in one text only does not return.
+    """
+    size = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = 1 << min(max((size // _BYTES_A_BUCKET).bit_length(), 6), 12)
+
+    def spread(batches):
+        part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def sent():
+            names, sizes, token = (np.concatenate(v) for v in zip(*held, strict=True))
+            parcel = (part << 32) + number
+            yield _parcels([(parcel % buckets, parcel, 0, names.astype("<i8").tobytes() + sizes.astype("<i8").tobytes())])
+            bucket = (token >> np.uint64(52)).astype(np.uint16) >> (12 - buckets.bit_length() + 1)
+            order = np.argsort(bucket, kind="stable")
+            text = np.repeat(np.arange(len(sizes)), sizes)[order]
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            bits = token[order].view(np.uint8).reshape(-1, 8)[:, :5]
+            rows = []
+            for k in range(buckets):
+                lo, hi = cut[k], cut[k + 1]
+                if hi > lo:
+                    rows.append((k, parcel, 1, bits[lo:hi].tobytes() + _packed(np.diff(order[lo:hi], prepend=0), np.diff(text[lo:hi], prepend=0))))
+            yield _parcels(rows)
+
+        for batch in batches:
+            texts, names = batch.column("text").to_pylist(), batch.column("d").to_numpy()
+            for a, b in chunks(texts, len, _BYTES_AT_ONCE):
+                word, doc, *_, counts = _words(texts[a:b])
+                token = _shingles(word)
+                enough = counts >= _WORDS
+                keep = enough[doc[: len(token)]] & (doc[: len(token)] == doc[len(word) - len(token) :])
+                if keep.any():
+                    held.append((names[a:b][enough], counts[enough] - SHINGLE + 1, token[keep]))
+                    n += len(held[-1][-1])
+                    if n >= _TOKENS_AT_ONCE:
+                        yield from sent()
+                        number, held, n = number + 1, [], 0
+        if n:
+            yield from sent()
+
+    def counted(batches):
+        def told(parcels, data):
+            token, place, text = [], [], []
+            for x in data:
+                m = len(x) // 13
+                bits = np.zeros((m, 8), dtype=np.uint8)
+                bits[:, :5] = np.frombuffer(x[: 5 * m], dtype=np.uint8).reshape(-1, 5)
+                token.append(bits.view("<u8").ravel())
+                at, of = _unpacked(x[5 * m :], 2)
+                place.append(np.cumsum(at))
+                text.append(np.cumsum(of))
+            owner = np.concatenate([t + (i << 32) for i, t in enumerate(text)])
+            token = np.concatenate(token)
+            order = np.argsort(token, kind="stable")
+            ranked, owner = token[order], owner[order]
+            new = np.append(True, ranked[1:] != ranked[:-1])
+            other = new | np.append(True, owner[1:] != owner[:-1])
+            group = np.cumsum(new) - 1
+            df = np.zeros(len(token), dtype=np.int64)
+            df[order] = np.bincount(group, weights=other)[group]
+            start, rows = 0, []
+            for parcel, at in zip(parcels, place, strict=True):
+                mine = df[start : start + len(at)]
+                start += len(at)
+                more = np.flatnonzero(mine > 1)
+                if len(more):
+                    rows.append((0, parcel, 1, _packed(np.diff(at[more], prepend=0), mine[more])))
+            return _parcels(rows)
+
+        bucket, parcels, data = None, [], []
+        for batch in batches:
+            for k, parcel, kind, x in zip(*(batch.column(c).to_pylist() for c in _PARCEL), strict=True):
+                if kind == 0:
+                    yield _parcels([(k, parcel, kind, x)])
+                    continue
+                if k != bucket and data:
+                    yield told(parcels, data)
+                    parcels, data = [], []
+                bucket = k
+                parcels.append(parcel)
+                data.append(x)
+        if data:
+            yield told(parcels, data)
+
+    def gathered(batches):
+        def placed(names, sizes, df):
+            end = np.cumsum(sizes)
+            start = np.concatenate([[0], end])
+            total = np.concatenate([[0], np.cumsum(df > 1)])
+            can = total[SPAN:] - total[:-SPAN] >= _LEVELS[0]
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            can &= text[: len(can)] == text[SPAN - 1 :]
+            at = np.flatnonzero(can)
+            some, one = np.unique(text[at], return_index=True)
+            lo, hi = at[one], at[np.append(one[1:], len(at)) - 1] + SPAN if len(at) else at
+            found = [_packed(df[x:y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            columns = [pa.array(names[some]), pa.array((lo - start[some]).astype(np.int32)), pa.array(found, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["d", "low", "df"])
+
+        parcel = None
+        for batch in batches:
+            for p, kind, x in zip(*(batch.column(c).to_pylist() for c in _PARCEL[1:]), strict=True):
+                if kind == 0:
+                    if parcel is not None:
+                        yield placed(names, sizes, df)
+                    parcel, (names, sizes) = p, np.frombuffer(x, dtype="<i8").reshape(2, -1)
+                    df = np.zeros(int(sizes.sum()), dtype=np.int64)
+                else:
+                    at, n = _unpacked(x, 2)
+                    df[np.cumsum(at)] = n
+        if parcel is not None:
+            yield placed(names, sizes, df)
+
+    kinds = "bucket int, parcel long, kind int, data binary"
+    sent = _named(docs).select("d", "text").mapInArrow(spread, kinds).repartition("bucket").sortWithinPartitions("bucket", "parcel")
+    back = sent.mapInArrow(counted, kinds).repartition("parcel").sortWithinPartitions("parcel", "kind")
+    return back.mapInArrow(gathered, "d long, low int, df binary")
+
+
 _SCHEMA = "key long, sub long, d long, s int, e int, pd long, ps int, pe int"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 _LINK = ["key", *_NAMES[2:]]
@@ -198,16 +370,17 @@ def _combined(rows: list[dict[str, np.ndarray]]):
         yield _table(key[more].view(np.int64), sub[more], d[more], s[more], e[more], d[to], s[to], e[to])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Links (key, d, s, e) to (pd, ps, pe), the first row of the key or of key and third minimum, of texts named by a
-    hash of doc_id and text."""
+def candidates(texts: DataFrame) -> DataFrame:
+    """Links (key, d, s, e) to (pd, ps, pe), the first row of the key or of key and third minimum, of texts (d, text, low,
+    df) named by a hash of doc_id and text."""
 
     def spread(batches):
         rows, n, seen = [], 0, {}
         for batch in batches:
             texts, names = batch.column("text").to_pylist(), batch.column("d").to_numpy()
+            low, df = batch.column("low").to_pylist(), [_unpacked(x, 1)[0] for x in batch.column("df").to_pylist()]
             for a, b in chunks(texts, len, _BYTES_AT_ONCE):
-                found, digest, counts = windows(texts[a:b])
+                found, digest, counts = windows(texts[a:b], low[a:b], df[a:b])
                 copies, keep = [], np.ones(b - a, dtype=bool)
                 for i, (h, c) in enumerate(zip(digest.tolist(), counts.tolist(), strict=True)):
                     if c >= _WORDS:
@@ -258,7 +431,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_LINK)
 
     return (
-        _named(docs).mapInArrow(spread, _SCHEMA)
+        texts.select("d", "text", "low", "df").mapInArrow(spread, _SCHEMA)
         .repartition("key").sortWithinPartitions("key", "sub", "d")
         .mapInArrow(linked, "key long, d long, s int, e int, pd long, ps int, pe int")
     )
@@ -455,13 +628,45 @@ def _whole_words(text: bytes, s: int) -> tuple[bytes, np.ndarray, np.ndarray]:
 _FOUND = "pd long, d long, left_id long, right_id long, left_byte int, left_end int, right_byte int, right_end int, similarity double, left_word int, left_words int, right_word int, right_words int"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every passage of pairs of slices, by _FOUND."""
+def _sieved(pairs: list[tuple[bytes, bytes]]) -> list[bool]:
+    """Whether, by hashes, each of two texts has a window of SPAN shingles with as many of the other's as a passage needs.
+    A text of several pairs is hashed once."""
+    texts, token = list(dict.fromkeys(t for pair in pairs for t in pair)), {}
+    for a, b in chunks(texts, len, _BYTES_AT_ONCE):
+        word, *_, counts = _words(texts[a:b])
+        shingle, end = _shingles(word), np.cumsum(counts)
+        for t, e, n in zip(texts[a:b], end.tolist(), counts.tolist(), strict=True):
+            mine = shingle[e - n : max(e - SHINGLE + 1, e - n)]
+            token[t] = (*np.unique(mine, return_inverse=True), len(mine))
+
+    def alike(one, two):
+        (a, i, n), (b, j, m) = one, two
+        if min(n, m) < SPAN:
+            return False
+        if len(a) > len(b):
+            a, i, b, j = b, j, a, i
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        common = b[at] == a
+        held = np.zeros(len(b), dtype=bool)
+        held[at[common]] = True
+        for hit in (common[i], held[j]):
+            total = np.cumsum(hit)
+            if total[-1] < _LEVELS[0] or max(total[SPAN - 1], (total[SPAN:] - total[:-SPAN]).max(initial=0)) < _LEVELS[0]:
+                return False
+        return True
+
+    return [alike(token[a], token[b]) for a, b in pairs]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sieve: bool = False) -> DataFrame:
+    """Every passage of pairs of slices, by _FOUND; those that hashes rule out are not compared, if sieve."""
     left = pairs.join(texts.withColumnRenamed("d", "pd"), "pd").select("pd", "d", "s", "e", "ps", F.col("doc_id").alias("left_id"), _slice("text", "ps", "pe").alias("a"))
     both = left.join(texts, "d").select("pd", "d", "left_id", F.col("doc_id").alias("right_id"), "ps", "s", "a", _slice("text", "s", "e").alias("b"))
 
     def verify(batch):
         rows = []
+        if sieve:
+            batch = batch.filter(pa.array(_sieved(list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)))))
         for pd, d, i, j, ps, s, a, b in zip(*(batch.column(c).to_pylist() for c in ("pd", "d", "left_id", "right_id", "ps", "s", "a", "b")), strict=True):
             (a, one, end), (b, two, stop) = _whole_words(a, ps), _whole_words(b, s)
             rows += [(pd, d, i, j, one[x], end[x + n - 1], two[y], stop[y + m - 1], similarity, 0, n, 0, m) for similarity, x, n, y, m in matches(a, b)]
@@ -473,101 +678,153 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(both, verify, _FOUND)
 
 
-def _unproved(links: DataFrame, found: DataFrame) -> DataFrame:
-    """The links without a verified passage at their place."""
-    one = found.select(F.col("pd").alias("x"), F.col("d").alias("y"), F.col("left_byte").alias("xs"), F.col("left_end").alias("xe"), F.col("right_byte").alias("ys"), F.col("right_end").alias("ye"))
-    same = (F.least("pd", "d") == F.col("x")) & (F.greatest("pd", "d") == F.col("y"))
-    place = lambda c, d: F.when(F.col("pd") <= F.col("d"), F.col(c)).otherwise(F.col(d))
-    meets = (place("ps", "s") < F.col("xe")) & (F.col("xs") < place("pe", "e")) & (place("s", "ps") < F.col("ye")) & (F.col("ys") < place("e", "pe"))
-    return links.join(one, same & meets, "left_anti")
-
+#: So many different shingles of a window are looked up in other texts; and pairs of a text that are tried first.
+_PROBES, _FEW = 25, 8
+
+
+def _chosen(can: np.ndarray, held: np.ndarray, token: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places to look up: in each window that can be of a passage, the rarest different shingles of those that are in
+    several texts, _PROBES less the places of others. And of a window with this place, how many of them the other text of a
+    passage holds at least: at most SPAN - _LEVELS[0] of a passage's window are misses, and those of one text are among them."""
+    m = len(token)
+    rank = np.lexsort((token, held, text))
+    new = np.append(True, (token[rank[1:]] != token[rank[:-1]]) | (text[rank[1:]] != text[rank[:-1]]))[:m]
+    order, before = np.empty(m, dtype=np.int32), np.full(m, -1)
+    order[rank] = np.cumsum(new)
+    before[rank[1:]] = np.where(new[1:], -1, rank[:-1])  # equal shingles stay in order
+    single = held < 2
+    order[single] = m + 1
+    alone = np.concatenate([[0], np.cumsum(single)])
+    most = _PROBES - SPAN + _LEVELS[0]
+    out, need, at = np.zeros(m, dtype=bool), np.full(m, most), np.flatnonzero(can)
+    for a in range(0, len(at), 1 << 14):
+        some = at[a : a + (1 << 14)]
+        place = some[:, None] + np.arange(SPAN)
+        ranks = order[place]
+        ranks[before[place] >= some[:, None]] = m + 1
+        ranks.sort(axis=1)
+        lone = alone[some + SPAN] - alone[some]
+        many = np.minimum(_PROBES - lone, (ranks <= m).sum(axis=1))
+        bound = ranks[np.arange(len(some)), many - 1]
+        picked = order[place] <= bound[:, None]
+        out[place[picked]] = True
+        least = np.maximum(many + lone - (SPAN - _LEVELS[0]), 1)
+        low = np.flatnonzero(least < most)
+        i, j = np.nonzero(picked[low])
+        np.minimum.at(need, place[low[i], j], least[low[i]])
+    return out, need
+
+
+_ROWS = ["key", "d", "root", "n", "m"]
+
+
+def _rows_of(texts: DataFrame) -> DataFrame:
+    """(key, d, root, n, m) of texts (d, root, text, low, df): each shingle of several texts that lies in a window that can
+    be of a passage; if it is to be looked up, at m places, n such shingles are to be found with it, else both are 0."""
 
-#: So many heads are compared set by set; more are counted by the shingles they hold.
-_FEW = 32
-
-
-def _regrouped(batches):
-    """Rows (deal, key, open, tried, d, s, e, doc_id, text) by deal and key: each open row is held against the rows before it that
-    stand for others or for themselves, up to the first with a passage at its place; one that has none stands for itself.
+    def run(batches):
+        for batch in batches:
+            texts, low = batch.column("text").to_pylist(), batch.column("low").to_pylist()
+            names, roots = batch.column("d").to_numpy(), batch.column("root").to_numpy()
+            df = [_unpacked(x, 1)[0] for x in batch.column("df").to_pylist()]
+            for a, b in chunks(texts, len, _BYTES_AT_ONCE):
+                word, doc, *_, counts = _words(texts[a:b])
+                token = _shingles(word)
+                can, held = (v[: len(token)] for v in _places(low[a:b], df[a:b], np.concatenate([[0], np.cumsum(counts)])))
+                chosen, need = _chosen(can, held, token, doc[: len(token)])
+                begun = np.concatenate([[0], np.cumsum(can)])
+                at = np.arange(len(token))
+                at = at[(held > 1) & (begun[at + 1] > begun[np.maximum(at - SPAN + 1, 0)])]
+                at = at[np.lexsort((token[at], doc[at]))]
+                key, of = token[at], doc[at]
+                new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))[: len(at)])
+                n = m = np.zeros(0, dtype=np.int32)
+                if len(at):
+                    m = np.add.reduceat(chosen[at], new, dtype=np.int32)
+                    n = np.where(m > 0, np.minimum.reduceat(need[at], new), 0).astype(np.int32)
+                columns = [key[new].view(np.int64), names[a:b][of[new]], roots[a:b][of[new]], n, m]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_ROWS)
+
+    return texts.select("d", "root", "text", "low", "df").mapInArrow(run, "key long, d long, root long, n int, m int")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of keys that are of several classes and to be looked up by one of them."""
+
+    def kept(key, d, root, n, m):
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        some = np.zeros(0, dtype=bool)
+        if len(key):
+            several = (np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)) & (np.maximum.reduceat(n, start) > 0)
+            some = np.repeat(several, np.diff(np.append(start, len(key))))
+        return pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (key, d, root, n, m)], names=_ROWS)
 
-    Only rows that hold enough of its shingles are compared, as no other can have a passage; they are counted at once.
-    Texts in tried were compared before, over more than the slices here, without a passage at the place.
-    What two texts were found to share under one key counts under the other keys of the same deal.
-    """
-    deal = key = None
-    names = [c.split()[0] for c in _FOUND.split(", ")]
-    more = SHINGLE - 1
-    for batch in batches:
-        out = []
-        for g, k, is_open, tried, d, s, e, doc, text in zip(*(batch.column(c).to_pylist() for c in ("deal", "key", "open", "tried", "d", "s", "e", "doc_id", "text")), strict=True):
-            if g != deal:
-                deal, key, proved = g, None, {}
-            if k != key:
-                key, known, posts, heads, indexed = k, _numbers(), [], [], 0
-            text, first, end = _whole_words(text, s)
-            listed = list(map(known.__getitem__, _tuples(text)))
-            unlike, ids = set(listed), np.array(listed, dtype=np.int64)
-            alone, distinct = True, len(unlike) == len(listed)
-            if is_open and heads:
-                if len(heads) <= _FEW:
-                    hits = np.array([len(unlike & h[-1]) for h in heads])
-                else:
-                    posts += [array("q") for _ in range(len(known) - len(posts))]
-                    for n in range(indexed, len(heads)):
-                        for i in heads[n][-1]:
-                            posts[i].append(n)
-                    indexed = len(heads)
-                    hits = np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(posts[i], np.int64) for i in unlike if posts[i])]))
-                for n in np.flatnonzero(hits >= _LEVELS[0]).tolist():
-                    d0, s0, e0, doc0, ids0, first0, end0, distinct0, _ = heads[n]
-                    if d0 == d or d0 in tried or (distinct and distinct0 and hits[n] < _LEVELS[1]):  # two sides of SPAN or more places
-                        continue
-                    there = lambda one, two: one[0] < e0 and s0 < one[1] and two[0] < e and s < two[1]  # noqa: B023, E731
-                    if any(there(*place) for place in proved.get((d0, d), ())):
-                        alone = False
-                        break
-                    for similarity, x, x1, y, y1 in _stretches(ids0, ids, _LEVELS[0]):
-                        one, two = (int(first0[x]), int(end0[x1 + more - 1])), (int(first[y]), int(end[y1 + more - 1]))
-                        alone &= not there(one, two)
-                        proved.setdefault((d0, d), []).append((one, two))
-                        proved.setdefault((d, d0), []).append((two, one))
-                        sides = sorted([(d0, doc0, *one, x1 - x + more), (d, doc, *two, y1 - y + more)], key=lambda v: v[0])
-                        (pd, i, ps, pe, pn), (od, j, os, oe, on) = sides
-                        out.append((pd, od, i, j, ps, pe, os, oe, similarity, 0, pn, 0, on))
-                    if not alone:
-                        break
-            if alone:
-                heads.append((d, s, e, doc, ids, first, end, distinct, unlike))
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.float64()] + [pa.int32()] * 4
-        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-
-def _again(links: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Passages of the rows whose link did not verify, with the other rows of their key. Keys with the same first
-    open text are dealt to one task, as keys of one passage mostly are."""
-    failed = stored(_unproved(links, found), "unproved")
-    heads = links.join(failed.select("key").distinct(), "key", "left_semi").select("key", F.col("pd").alias("d"), F.col("ps").alias("s"), F.col("pe").alias("e"), F.lit(0).alias("open"), F.lit(None).cast("long").alias("pd"))
-    rows = (
-        failed.select("key", "d", "s", "e", F.lit(1).alias("open"), "pd").union(heads.distinct())
-        .groupBy("key", "d", "s", "e")
-        .agg(F.max("open").alias("open"), F.collect_set("pd").alias("tried"))  # a row links to the firsts of its task and of its key
-    )
-    rows = stored(rows, "reopened")
-    ends = [f(F.when(F.col("open") == o, F.col("d"))).alias(c) for f, o, c in ((F.min, 1, "deal"), (F.max, 1, "last"), (F.min, 0, "head"), (F.max, 0, "other"))]
-    keys = rows.groupBy("key").agg(*ends).where("deal <> last OR head <> other").select("key", "deal")  # else only tried pairs
-    dealt = rows.join(keys, "key")
-    cut = dealt.join(texts, "d").select("deal", "key", "open", "tried", "d", "s", "e", "doc_id", _slice("text", "s", "e").alias("text"))
-    return cut.repartition("deal").sortWithinPartitions("deal", "key", "open", "d", "s").mapInArrow(_regrouped, _FOUND)
+    def run(batches):
+        held, size = [], 0  # the last key of a batch may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = [batch.column(c).to_numpy() for c in _ROWS]
+            if held and v[0][0] == v[0][-1] == held[-1][0][-1]:
+                held.append(v)
+                continue
+            v = [np.concatenate(x) for x in zip(*held, v, strict=True)]
+            last = int(np.searchsorted(v[0], v[0][-1]))
+            yield kept(*(x[:last] for x in v))
+            held = [[x[last:] for x in v]]
+        if held:
+            yield kept(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, d long, root long, n int, m int")
+
+
+def _likely(rows: DataFrame, turn: int) -> DataFrame:
+    """Of each text the _FEW pairs with texts of other classes that most often stand next to it where each key's texts are
+    put in order of a hash of the turn."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("d", F.lit(turn)), "d")
+    near = F.array(*[F.struct(F.lag("d", i).over(order).alias("pd"), F.lag("root", i).over(order).alias("other")) for i in (1, 2, 3)])
+    pairs = rows.select("d", "root", near.alias("near")).select("d", "root", F.explode("near").alias("v")).where("root <> v.other").groupBy("v.pd", "d").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("d").orderBy(F.desc("n"), "pd")
+    return pairs.withColumn("i", F.row_number().over(best)).where(F.col("i") <= _FEW).select(F.least("pd", "d").alias("pd"), F.greatest("pd", "d").alias("d")).distinct()
+
+
+def _unjoined(rows: DataFrame) -> DataFrame:
+    """All pairs (pd < d) of texts of different classes that hold enough of the shingles looked up in each other; texts are
+    first held against whole classes."""
+    probes = rows.where("n > 0")
+    asked = ((F.count(F.lit(1)) >= F.min("n")) & (F.sum("m") >= _PROBES - SPAN + _LEVELS[0])).alias("ask")
+    classes = probes.join(rows.select("key", F.col("root").alias("other")).distinct(), "key").where("root <> other").groupBy("d", "other").agg(asked).where("ask").select("d", "other")
+    members = rows.select("key", F.col("root").alias("other"), F.col("d").alias("pd"))
+    pairs = probes.select("key", "d", "n", "m").join(classes, "d").join(members, ["key", "other"]).groupBy("pd", "d").agg(asked).where("ask")
+    sided = pairs.groupBy(F.least("pd", "d").alias("x"), F.greatest("pd", "d").alias("y")).agg(F.count(F.lit(1)).alias("sides"))
+    return sided.where("sides = 2").select(F.col("x").alias("pd"), F.col("y").alias("d"))
+
+
+def _completed(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Passages of texts that have one and are not of one class by what was found: in two turns of likely pairs, then of all
+    that are still of different classes."""
+    whole = [F.lit(v).alias(c) for c, v in (("ps", 0), ("pe", _LONG), ("s", 0), ("e", _LONG))]
+    linked, out = found.select(F.col("pd").alias("a"), F.col("d").alias("b")), None
+
+    def classed(rows):
+        roots = components(linked).withColumnRenamed("node", "d")
+        return rows.drop("root").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
+
+    rows = stored(_mixed(_rows_of(classed(texts.select("d", "text", "low", "df")))), "mixed")
+    for pairs in (lambda r: _likely(r, 0), lambda r: _likely(r, 1), _unjoined):
+        pairs = stored(pairs(rows if out is None else classed(rows)), "pairs")
+        more = stored(_verified(pairs.select("pd", "d", *whole), texts, sieve=True), "proved")
+        linked, out = linked.union(more.select("pd", "d")), more if out is None else out.union(more)
+    return out
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """Verified links: left_id, right_id, similarity, and of each side the passage's words (from 0 in the slice of text
     that begins at byte left_byte or right_byte) as left_byte, left_word, left_words, and so for the right."""
-    links = stored(candidates(docs), "links")
-    texts = _named(docs).repartition("d").dropDuplicates(["d"])
-    found = stored(_verified(stored(_merged(links), "passages"), texts), "verified")
-    return found.union(_again(links, found, texts)).drop("pd", "d", "left_end", "right_end").distinct()
+    places = repeated(docs).dropDuplicates(["d"])
+    texts = stored(_named(docs).join(places, "d").dropDuplicates(["d"]), "texts")
+    found = stored(_verified(stored(_merged(candidates(texts)), "passages"), texts), "verified")
+    return found.union(_completed(texts, found)).drop("pd", "d", "left_end", "right_end").distinct()
 
 
 def classes(docs: DataFrame, links: DataFrame) -> DataFrame:

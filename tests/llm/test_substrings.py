@@ -209,3 +209,54 @@ def test_copies_whose_key_begins_with_another_passage(spark):
             docs += [(i, f"{line(rng, 60)} {common} {tail} {line(rng, 60)}") for i in ids]
     found = links(spark, docs)
     assert {tuple(sorted((r.left_id, r.right_id))) for r in found} == set(twins)
+
+
+def brute(docs):
+    """Smallest doc_id reachable over all pairs of texts with a passage."""
+    up = {i: i for i, _ in docs}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in docs:
+        for j, b in docs:
+            if i < j and top(i) != top(j) and substrings.matches(a.encode(), b.encode()):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return {i: top(i) for i in up}
+
+
+def test_no_class_is_split(spark):
+    """Passages at the threshold, chains of them whose ends have nothing in common by the rule, and words repeated."""
+    rng = np.random.default_rng(18)
+    docs = []
+    for _ in range(60):  # of 50 to 64 words one or two are other ones
+        base = line(rng, 56).split()
+        for _ in range(4):
+            edited = list(base)
+            for place in rng.integers(0, 56, 2):
+                edited[place] = f"e{rng.integers(0, 10**6)}"
+            docs.append((len(docs), f"{line(rng, 30)} {' '.join(edited)} {line(rng, 30)}"))
+    for _ in range(5):
+        chain = line(rng, 400).split()
+        docs += [(len(docs) + i, " ".join(chain[40 * i : 40 * i + 92])) for i in range(7)]
+    docs += [(len(docs) + i, f"{'again ' * n}{line(rng, 60)}") for i, n in enumerate((20, 45, 49, 50, 60, 70))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in substrings.classes(rows, substrings.passages(rows)).collect()}
+    assert found == brute(docs)
+
+
+def test_no_pair_at_the_threshold_is_left_out(spark):
+    rng = np.random.default_rng(19)
+    docs = []
+    for _ in range(300):
+        base = line(rng, 50).split()
+        near = [*base[:25], "changed", *base[26:]]
+        docs += [(len(docs) + i, f"{line(rng, 30)} {' '.join(v)} {line(rng, 30)}") for i, v in enumerate((base, near))]
+    pairs = [(i, j) for (i, a), (j, b) in zip(docs[::2], docs[1::2], strict=True) if substrings.matches(a.encode(), b.encode())]
+    assert len(pairs) == 300
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in substrings.classes(rows, substrings.passages(rows)).collect()}
+    assert [p for p in pairs if of[p[0]] != of[p[1]]] == []
