@@ -13,7 +13,7 @@ similarity of their shingle sets of at least SIMILARITY. Equal texts are linked
 
 Windows are built only where a passage can be: where SIMILARITY of SPAN shingles are in several texts (repeated). What
 hashing and stars miss is completed exactly (_completed): each window's rarest shingles are looked up in all texts of other
-classes, and every pair that holds as many as a passage needs is verified on its whole texts. So texts of different classes
+classes, and every pair that holds as many as a passage needs, counted by different shingles too, is verified on its whole texts. So texts of different classes
 have no passage in common by matches(), but links inside a class are not all pairs. 64-bit hashes stand for shingles.
 
 Defined results: null and shorter texts have no passages; repeats inside one document are not links; rows that agree in
@@ -40,7 +40,7 @@ SHINGLE, SPAN, SIMILARITY, BANDS = 5, 46, 0.8, 3
 MARGIN = 512
 _LONG = 2**31 - 1 - MARGIN
 _WORDS = SPAN + SHINGLE - 1
-_BYTES_AT_ONCE, _ROWS_AT_ONCE = 1 << 21, 1 << 21
+_BYTES_AT_ONCE, _ROWS_AT_ONCE = 1 << 21, 1 << 20
 _FLAT = np.frombuffer(_ALNUM, dtype=np.uint8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -484,6 +484,14 @@ def _named(docs: DataFrame) -> DataFrame:
 _LEVELS = (math.ceil(SPAN * SIMILARITY), math.ceil(2 * SPAN * SIMILARITY / (1 + SIMILARITY)), SPAN)
 
 
+#: Different shingles of a stretch that its partner lacks, to one that it has: at most. A stretch can be covered by windows of
+#: SPAN places with _LEVELS[0] hits, two over a place at most. So in one of them those lacked, each taken as half of 1 by its
+#: number of places in the text, come to no more than that times those held. Where a window has less than _DIVERSE different
+#: shingles, as where a word is said forty times, this says more than the places do.
+_MISSES = 1 / SIMILARITY - 1
+_DIVERSE = math.ceil((SPAN - _LEVELS[0]) * (0.5 + _MISSES) / _MISSES)
+
+
 def _among(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Which numbers of b are in a: by a table, unless they are large for that."""
     most = int(max(a.max(initial=0), b.max(initial=0))) + 1
@@ -628,6 +636,31 @@ def _whole_words(text: bytes, s: int) -> tuple[bytes, np.ndarray, np.ndarray]:
 _FOUND = "pd long, d long, left_id long, right_id long, left_byte int, left_end int, right_byte int, right_end int, similarity double, left_word int, left_words int, right_word int, right_words int"
 
 
+def _margin(hit: np.ndarray, shingle: np.ndarray) -> float | None:
+    """None if no window of SPAN shingles, given by numbers from 0, has as many hits as a passage needs, by place and by
+    _MISSES. Else how many shingles at most a stretch has in common with its partner beyond the share of its own that two
+    sides of one size need: what one side lacks of that, the other has over."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    dense = total[SPAN:] - total[:-SPAN] >= _LEVELS[0]
+    if not dense.any():
+        return None
+    times = np.bincount(shingle)
+    if len(times) < len(shingle):
+        order = np.argsort(shingle, kind="stable")
+        before = np.full(len(shingle), -1)
+        before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
+        place, n = np.arange(len(shingle)), len(dense)
+        first, last = np.maximum(before, place - SPAN) + 1, np.minimum(place, n - 1) + 1  # windows where the place is its shingle's first
+        some = first < last
+        weight = np.where(hit, _MISSES, -0.5 / times[shingle])[some]
+        change = np.bincount(first[some], weight, n + 1) - np.bincount(last[some], weight, n + 1)
+        if not (dense & (np.cumsum(change)[:n] >= -1e-6)).any():
+            return None
+    share = 2 * SIMILARITY / (1 + SIMILARITY)
+    gain = np.concatenate([[0], np.cumsum(np.where(hit, 1 - share, -share / times[shingle]))])
+    return float((gain[SPAN:] - np.minimum.accumulate(gain[:-SPAN])).max())
+
+
 def _sieved(pairs: list[tuple[bytes, bytes]]) -> list[bool]:
     """Whether, by hashes, each of two texts has a window of SPAN shingles with as many of the other's as a passage needs.
     A text of several pairs is hashed once."""
@@ -649,11 +682,9 @@ def _sieved(pairs: list[tuple[bytes, bytes]]) -> list[bool]:
         common = b[at] == a
         held = np.zeros(len(b), dtype=bool)
         held[at[common]] = True
-        for hit in (common[i], held[j]):
-            total = np.cumsum(hit)
-            if total[-1] < _LEVELS[0] or max(total[SPAN - 1], (total[SPAN:] - total[:-SPAN]).max(initial=0)) < _LEVELS[0]:
-                return False
-        return True
+        left = _margin(common[i], i)
+        right = None if left is None else _margin(held[j], j)
+        return right is not None and left + right >= -1e-6
 
     return [alike(token[a], token[b]) for a, b in pairs]
 
@@ -666,7 +697,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, sieve: bool = False) -> DataFr
     def verify(batch):
         rows = []
         if sieve:
-            batch = batch.filter(pa.array(_sieved(list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)))))
+            some = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
+            batch = batch.filter(pa.array([x for i, j in chunks(some, lambda v: len(v[0]) + len(v[1]), 2 * _BYTES_AT_ONCE) for x in _sieved(some[i:j])], pa.bool_()))
+            del some
         for pd, d, i, j, ps, s, a, b in zip(*(batch.column(c).to_pylist() for c in ("pd", "d", "left_id", "right_id", "ps", "s", "a", "b")), strict=True):
             (a, one, end), (b, two, stop) = _whole_words(a, ps), _whole_words(b, s)
             rows += [(pd, d, i, j, one[x], end[x + n - 1], two[y], stop[y + m - 1], similarity, 0, n, 0, m) for similarity, x, n, y, m in matches(a, b)]
@@ -678,49 +711,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, sieve: bool = False) -> DataFr
     return map_arrow(both, verify, _FOUND)
 
 
-#: So many different shingles of a window are looked up in other texts; and pairs of a text that are tried first.
-_PROBES, _FEW = 25, 8
+#: So many different shingles of a window are looked up in other texts, if they are in _SELDOM texts at most; more than the
+#: misses it may have in any case. And pairs of a text that are tried first.
+_PROBES, _SELDOM, _FEW = 25, 100, 8
 
 
-def _chosen(can: np.ndarray, held: np.ndarray, token: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(can: np.ndarray, held: np.ndarray, token: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places to look up: in each window that can be of a passage, the rarest different shingles of those that are in
-    several texts, _PROBES less the places of others. And of a window with this place, how many of them the other text of a
-    passage holds at least: at most SPAN - _LEVELS[0] of a passage's window are misses, and those of one text are among them."""
+    several texts. Of a window with this place, how many of them the other text of a passage holds at least: as many as
+    are looked up but for misses, which are SPAN - _LEVELS[0] places at most and no more than _MISSES allows. And what
+    the place is looked up for: 1 a window whose rarest are in _SELDOM texts at most, 2 one where they are not, 3 both."""
     m = len(token)
     rank = np.lexsort((token, held, text))
     new = np.append(True, (token[rank[1:]] != token[rank[:-1]]) | (text[rank[1:]] != text[rank[:-1]]))[:m]
-    order, before = np.empty(m, dtype=np.int32), np.full(m, -1)
-    order[rank] = np.cumsum(new)
+    order, before, weight = np.empty(m, dtype=np.int32), np.full(m, -1), np.empty(m)
+    group = np.cumsum(new)
+    order[rank] = group
+    weight[rank] = 0.5 / np.bincount(group)[group]
     before[rank[1:]] = np.where(new[1:], -1, rank[:-1])  # equal shingles stay in order
-    single = held < 2
+    single, seldom = held < 2, (held > 1) & (held <= _SELDOM)
     order[single] = m + 1
     alone = np.concatenate([[0], np.cumsum(single)])
-    most = _PROBES - SPAN + _LEVELS[0]
-    out, need, at = np.zeros(m, dtype=bool), np.full(m, most), np.flatnonzero(can)
-    for a in range(0, len(at), 1 << 14):
-        some = at[a : a + (1 << 14)]
+    need, why, at = np.full(m, SPAN), np.zeros(m, dtype=np.int32), np.flatnonzero(can)
+    for a in range(0, len(at), 1 << 13):
+        some = at[a : a + (1 << 13)]
         place = some[:, None] + np.arange(SPAN)
-        ranks = order[place]
-        ranks[before[place] >= some[:, None]] = m + 1
+        first = before[place] < some[:, None]
+        misses = SPAN - _LEVELS[0] - (alone[some + SPAN] - alone[some])
+        low = np.flatnonzero(first.sum(axis=1) < _DIVERSE)
+        if len(low):
+            lone, weigh = single[place[low]], np.where(first[low], weight[place[low]], 0)
+            both = (first[low] & ~lone).sum(axis=1)
+            lacked = (weigh * lone).sum(axis=1)
+            more = np.sort(np.where(first[low] & ~lone, weigh, SPAN), axis=1).cumsum(axis=1)
+            fits = lacked[:, None] + more <= _MISSES * (both[:, None] - np.arange(1, SPAN + 1)) + 1e-6
+            misses[low] = np.where(lacked <= _MISSES * both + 1e-6, np.minimum(misses[low], fits.sum(axis=1)), -1)
+            able = misses >= 0
+            some, place, first, misses = some[able], place[able], first[able], misses[able]
+        ranks = np.where(first, order[place], m + 1)
         ranks.sort(axis=1)
-        lone = alone[some + SPAN] - alone[some]
-        many = np.minimum(_PROBES - lone, (ranks <= m).sum(axis=1))
+        few = (first & seldom[place]).sum(axis=1)
+        many = np.minimum(np.maximum(np.minimum(few, _PROBES), misses + 1), (ranks <= m).sum(axis=1))
         bound = ranks[np.arange(len(some)), many - 1]
-        picked = order[place] <= bound[:, None]
-        out[place[picked]] = True
-        least = np.maximum(many + lone - (SPAN - _LEVELS[0]), 1)
-        low = np.flatnonzero(least < most)
-        i, j = np.nonzero(picked[low])
-        np.minimum.at(need, place[low[i], j], least[low[i]])
-    return out, need
+        i, j = np.nonzero(order[place] <= bound[:, None])
+        looked, least = place[i, j], many - misses
+        np.minimum.at(need, looked, least[i])
+        often = few <= misses
+        why[looked[~often[i]]] |= 1
+        why[looked[often[i]]] |= 2
+    return why > 0, need, why
 
 
 _ROWS = ["key", "d", "root", "n", "m"]
 
 
 def _rows_of(texts: DataFrame) -> DataFrame:
-    """(key, d, root, n, m) of texts (d, root, text, low, df): each shingle of several texts that lies in a window that can
-    be of a passage; if it is to be looked up, at m places, n such shingles are to be found with it, else both are 0."""
+    """(key, d, root, n, m) of texts (d, root, text, low, df) with a window that can be of a passage by _chosen: each shingle of
+    several texts that lies in a window that can be by places; if it is to be looked up, n such shingles are to be found
+    with it, else 0. m: why it is looked up, and 4 more if any of the text is for 2."""
 
     def run(batches):
         for batch in batches:
@@ -731,17 +779,19 @@ def _rows_of(texts: DataFrame) -> DataFrame:
                 word, doc, *_, counts = _words(texts[a:b])
                 token = _shingles(word)
                 can, held = (v[: len(token)] for v in _places(low[a:b], df[a:b], np.concatenate([[0], np.cumsum(counts)])))
-                chosen, need = _chosen(can, held, token, doc[: len(token)])
+                chosen, need, why = _chosen(can, held, token, doc[: len(token)])
+                asks, often = (np.bincount(doc[: len(token)], v, b - a) > 0 for v in (chosen, why & 2))
                 begun = np.concatenate([[0], np.cumsum(can)])
                 at = np.arange(len(token))
-                at = at[(held > 1) & (begun[at + 1] > begun[np.maximum(at - SPAN + 1, 0)])]
+                at = at[asks[doc[at]] & (held > 1) & (begun[at + 1] > begun[np.maximum(at - SPAN + 1, 0)])]
                 at = at[np.lexsort((token[at], doc[at]))]
                 key, of = token[at], doc[at]
                 new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))[: len(at)])
                 n = m = np.zeros(0, dtype=np.int32)
                 if len(at):
-                    m = np.add.reduceat(chosen[at], new, dtype=np.int32)
+                    m = np.bitwise_or.reduceat(why[at], new)
                     n = np.where(m > 0, np.minimum.reduceat(need[at], new), 0).astype(np.int32)
+                    m = (m | 4 * often[of[new]]).astype(np.int32)
                 columns = [key[new].view(np.int64), names[a:b][of[new]], roots[a:b][of[new]], n, m]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_ROWS)
 
@@ -778,44 +828,40 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, d long, root long, n int, m int")
 
 
-def _likely(rows: DataFrame, turn: int) -> DataFrame:
-    """Of each text the _FEW pairs with texts of other classes that most often stand next to it where each key's texts are
-    put in order of a hash of the turn."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("d", F.lit(turn)), "d")
-    near = F.array(*[F.struct(F.lag("d", i).over(order).alias("pd"), F.lag("root", i).over(order).alias("other")) for i in (1, 2, 3)])
-    pairs = rows.select("d", "root", near.alias("near")).select("d", "root", F.explode("near").alias("v")).where("root <> v.other").groupBy("v.pd", "d").agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("d").orderBy(F.desc("n"), "pd")
-    return pairs.withColumn("i", F.row_number().over(best)).where(F.col("i") <= _FEW).select(F.least("pd", "d").alias("pd"), F.greatest("pd", "d").alias("d")).distinct()
-
-
 def _unjoined(rows: DataFrame) -> DataFrame:
-    """All pairs (pd < d) of texts of different classes that hold enough of the shingles looked up in each other; texts are
-    first held against whole classes."""
-    probes = rows.where("n > 0")
-    asked = ((F.count(F.lit(1)) >= F.min("n")) & (F.sum("m") >= _PROBES - SPAN + _LEVELS[0])).alias("ask")
-    classes = probes.join(rows.select("key", F.col("root").alias("other")).distinct(), "key").where("root <> other").groupBy("d", "other").agg(asked).where("ask").select("d", "other")
-    members = rows.select("key", F.col("root").alias("other"), F.col("d").alias("pd"))
-    pairs = probes.select("key", "d", "n", "m").join(classes, "d").join(members, ["key", "other"]).groupBy("pd", "d").agg(asked).where("ask")
-    sided = pairs.groupBy(F.least("pd", "d").alias("x"), F.greatest("pd", "d").alias("y")).agg(F.count(F.lit(1)).alias("sides"))
-    return sided.where("sides = 2").select(F.col("x").alias("pd"), F.col("y").alias("d"))
+    """All pairs (pd < d) of texts of different classes of which either has a window that finds enough in the other, and how
+    many shingles these find; texts are first held against whole classes. A window whose rarest shingles are in many texts
+    is held against texts with such windows only: others find its text themselves, and that is enough."""
+    often = F.col("m") >= 4
+    probes = rows.where("n > 0").select("key", "d", "root", "n", (F.col("m").bitwiseAND(1) > 0).alias("all"), often.alias("mine"))
+    members = rows.select("key", F.col("root").alias("other"), F.col("d").alias("pd"), often.alias("often"))
+    asked = [F.count(F.lit(1)).alias("found"), F.min("n").alias("n")]
+    of_class = members.groupBy("key", "other").agg(F.max("often").alias("often"))
+    classes = probes.join(of_class, "key").where("root <> other AND (all OR often)").groupBy("d", "other").agg(*asked).where("found >= n").select("d", "other")
+    alone = F.max(F.expr("often AND NOT mine")).alias("alone")
+    pairs = probes.join(classes, "d").join(members, ["key", "other"]).where("all OR often").groupBy("pd", "d").agg(*asked, alone).where("found >= n")
+    both = pairs.groupBy(F.least("pd", "d").alias("x"), F.greatest("pd", "d").alias("y")).agg(F.sum("found").alias("found"), F.count(F.lit(1)).alias("sides"), F.max("alone").alias("alone"))
+    return both.where("sides = 2 OR alone").select(F.col("x").alias("pd"), F.col("y").alias("d"), "found")
 
 
 def _completed(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Passages of texts that have one and are not of one class by what was found: in two turns of likely pairs, then of all
-    that are still of different classes."""
+    """Passages of texts that have one and are not of one class by what was found: of the likeliest pairs of each text, then of
+    all that are still of different classes."""
     whole = [F.lit(v).alias(c) for c, v in (("ps", 0), ("pe", _LONG), ("s", 0), ("e", _LONG))]
-    linked, out = found.select(F.col("pd").alias("a"), F.col("d").alias("b")), None
-
-    def classed(rows):
-        roots = components(linked).withColumnRenamed("node", "d")
-        return rows.drop("root").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
-
-    rows = stored(_mixed(_rows_of(classed(texts.select("d", "text", "low", "df")))), "mixed")
-    for pairs in (lambda r: _likely(r, 0), lambda r: _likely(r, 1), _unjoined):
-        pairs = stored(pairs(rows if out is None else classed(rows)), "pairs")
-        more = stored(_verified(pairs.select("pd", "d", *whole), texts, sieve=True), "proved")
-        linked, out = linked.union(more.select("pd", "d")), more if out is None else out.union(more)
-    return out
+    linked = found.select(F.col("pd").alias("a"), F.col("d").alias("b"))
+    rooted = texts.select("d", "text", "low", "df").join(components(linked).withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    rows = stored(_mixed(_rows_of(rooted)), "mixed")
+    best = Window.partitionBy("d").orderBy(F.desc("found"), "pd")
+    pairs = stored(_unjoined(rows).withColumn("i", F.row_number().over(best)), "pairs")
+
+    def proved(some):
+        return stored(_verified(some.select("pd", "d", *whole), texts, sieve=True), "proved")
+
+    first = proved(pairs.where(F.col("i") <= _FEW))
+    roots = components(linked.union(first.select("pd", "d")))
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in (("pd", "x"), ("d", "y")))
+    apart = pairs.where(F.col("i") > _FEW).join(left, "pd", "left").join(right, "d", "left").where(F.coalesce("x", "pd") != F.coalesce("y", "d"))
+    return first.union(proved(apart))
 
 
 def passages(docs: DataFrame) -> DataFrame:

@@ -260,3 +260,51 @@ def test_no_pair_at_the_threshold_is_left_out(spark):
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     of = {r.doc_id: r.component_id for r in substrings.classes(rows, substrings.passages(rows)).collect()}
     assert [p for p in pairs if of[p[0]] != of[p[1]]] == []
+
+
+def stuttered(rng, words, low, high):
+    return " ".join(" ".join([f"w{x}"] * rng.integers(low, high)) for x in words)
+
+
+def test_words_said_many_times_are_not_verified_in_all_pairs(spark, monkeypatch):
+    rng, seen, kept = np.random.default_rng(20), [], substrings.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(substrings, "stored", stored)
+    words = [[x, 1000 + 4 * i + k] for i in range(80) for k, x in enumerate(rng.choice(12, 4, replace=False))]  # often, and in one text only
+    docs = [(i, stuttered(rng, sum(words[4 * i : 4 * i + 4], []), 41, 46)) for i in range(80)]
+    assert links(spark, docs) == []
+    assert sum(n for name, n in seen if name == "pairs") <= len(docs)
+
+
+@pytest.mark.parametrize("seldom", [100, 3])
+def test_no_class_of_words_said_many_times_is_split(spark, monkeypatch, seldom):
+    monkeypatch.setattr(substrings, "_SELDOM", seldom)
+    rng = np.random.default_rng(21)
+    docs = [(i, f"{line(rng, 9)} {stuttered(rng, rng.integers(0, 30, 4), 20, 56)}") for i in range(50)]
+    docs += [(50 + i, stuttered(rng, rng.integers(0, 4, 30), 1, 5)) for i in range(20)]
+    for i in range(8):
+        base = [*rng.integers(100, 400, 14), 7, 7, 8]
+        docs += [(100 + 3 * i + k, f"{line(rng, 20)} {stuttered(rng, [*base[: 5 * k], 90, *base[5 * k :]], 3, 7)}") for k in range(3)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in substrings.classes(rows, substrings.passages(rows)).collect()}
+    assert found == brute(docs) and len(set(found.values())) < len(found)
+
+
+def test_what_is_ruled_out_by_hashes_has_no_passage():
+    rng, passed, held = np.random.default_rng(22), 0, 0
+    for _ in range(1500):
+        base = [f"w{x}" for x in rng.integers(0, 6, 90)] if rng.random() < 0.5 else stuttered(rng, rng.integers(0, 9, 6), 1, 40).split()
+        near = list(base)
+        for place in rng.integers(0, len(near), rng.integers(0, 9)):
+            near[place] = f"w{rng.integers(0, 12)}"
+        a, b = " ".join(base).encode(), " ".join([*near[rng.integers(0, 20) :], "tail"]).encode()
+        alike = bool(substrings.matches(a, b))
+        assert substrings._sieved([(a, b)]) == [True] or not alike
+        held += alike
+        passed += not alike
+    assert held > 100 and passed > 100
