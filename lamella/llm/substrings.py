@@ -849,7 +849,9 @@ def _completed(texts: DataFrame, found: DataFrame) -> DataFrame:
     all that are still of different classes."""
     whole = [F.lit(v).alias(c) for c, v in (("ps", 0), ("pe", _LONG), ("s", 0), ("e", _LONG))]
     linked = found.select(F.col("pd").alias("a"), F.col("d").alias("b"))
-    rooted = texts.select("d", "text", "low", "df").join(components(linked).withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    of = texts.select("d", F.xxhash64("text").alias("h")).join(components(linked).withColumnRenamed("node", "d"), "d", "left")
+    one = of.groupBy(F.coalesce("root", "d").alias("root"), "h").agg(F.min("d").alias("d"))  # equal texts of a class say the same
+    rooted = texts.select("d", "text", "low", "df").join(one.select("d", "root"), "d")
     rows = stored(_mixed(_rows_of(rooted)), "mixed")
     best = Window.partitionBy("d").orderBy(F.desc("found"), "pd")
     pairs = stored(_unjoined(rows).withColumn("i", F.row_number().over(best)), "pairs")
