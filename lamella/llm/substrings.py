@@ -12,8 +12,9 @@ slices of text are fetched, and every stretch is verified: at least SPAN shingle
 similarity of their shingle sets of at least SIMILARITY. Equal texts are linked whole, once per task.
 
 Windows are built only where a passage can be: where SIMILARITY of SPAN shingles are in several texts (repeated). What
-hashing and stars miss is completed exactly (_completed): each window's rarest shingles are looked up in all texts of other
-classes, and every pair that holds as many as a passage needs, counted by different shingles too, is verified on its whole texts. So texts of different classes
+hashing and stars miss is completed exactly (_completed): each window's rarest shingles are looked up in all other classes,
+a text that finds as many as a passage needs is held against all texts of that class, part by part (_Block), and every pair
+that hashes do not rule out is verified on its whole texts. So texts of different classes
 have no passage in common by matches(), but links inside a class are not all pairs. 64-bit hashes stand for shingles.
 
 Defined results: null and shorter texts have no passages; repeats inside one document are not links; rows that agree in
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
@@ -636,6 +638,14 @@ def _whole_words(text: bytes, s: int) -> tuple[bytes, np.ndarray, np.ndarray]:
 _FOUND = "pd long, d long, left_id long, right_id long, left_byte int, left_end int, right_byte int, right_end int, similarity double, left_word int, left_words int, right_word int, right_words int"
 
 
+def _first_in(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place, the windows of SPAN places, from and to, where it is the first one of its shingle."""
+    order, place = np.argsort(shingle, kind="stable"), np.arange(len(shingle))
+    before = np.full(len(shingle), -1)
+    before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
+    return np.maximum(before, place - SPAN) + 1, place + 1
+
+
 def _margin(hit: np.ndarray, shingle: np.ndarray) -> float | None:
     """None if no window of SPAN shingles, given by numbers from 0, has as many hits as a passage needs, by place and by
     _MISSES. Else how many shingles at most a stretch has in common with its partner beyond the share of its own that two
@@ -646,11 +656,9 @@ def _margin(hit: np.ndarray, shingle: np.ndarray) -> float | None:
         return None
     times = np.bincount(shingle)
     if len(times) < len(shingle):
-        order = np.argsort(shingle, kind="stable")
-        before = np.full(len(shingle), -1)
-        before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
-        place, n = np.arange(len(shingle)), len(dense)
-        first, last = np.maximum(before, place - SPAN) + 1, np.minimum(place, n - 1) + 1  # windows where the place is its shingle's first
+        n = len(dense)
+        first, last = _first_in(shingle)
+        first, last = np.minimum(first, n), np.minimum(last, n)
         some = first < last
         weight = np.where(hit, _MISSES, -0.5 / times[shingle])[some]
         change = np.bincount(first[some], weight, n + 1) - np.bincount(last[some], weight, n + 1)
@@ -661,45 +669,79 @@ def _margin(hit: np.ndarray, shingle: np.ndarray) -> float | None:
     return float((gain[SPAN:] - np.minimum.accumulate(gain[:-SPAN])).max())
 
 
-def _sieved(pairs: list[tuple[bytes, bytes]]) -> list[bool]:
-    """Whether, by hashes, each of two texts has a window of SPAN shingles with as many of the other's as a passage needs.
-    A text of several pairs is hashed once."""
-    texts, token = list(dict.fromkeys(t for pair in pairs for t in pair)), {}
+def _hashed(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each text: its different shingles in order, which of them stand at its places, and the fewest of any SPAN places."""
+    out = []
     for a, b in chunks(texts, len, _BYTES_AT_ONCE):
         word, *_, counts = _words(texts[a:b])
         shingle, end = _shingles(word), np.cumsum(counts)
-        for t, e, n in zip(texts[a:b], end.tolist(), counts.tolist(), strict=True):
-            mine = shingle[e - n : max(e - SHINGLE + 1, e - n)]
-            token[t] = (*np.unique(mine, return_inverse=True), len(mine))
-
-    def alike(one, two):
-        (a, i, n), (b, j, m) = one, two
-        if min(n, m) < SPAN:
-            return False
-        if len(a) > len(b):
-            a, i, b, j = b, j, a, i
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        common = b[at] == a
-        held = np.zeros(len(b), dtype=bool)
-        held[at[common]] = True
-        left = _margin(common[i], i)
-        right = None if left is None else _margin(held[j], j)
-        return right is not None and left + right >= -1e-6
-
-    return [alike(token[a], token[b]) for a, b in pairs]
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, sieve: bool = False) -> DataFrame:
-    """Every passage of pairs of slices, by _FOUND; those that hashes rule out are not compared, if sieve."""
+        for e, n in zip(end.tolist(), counts.tolist(), strict=True):
+            known, at = np.unique(shingle[e - n : max(e - SHINGLE + 1, e - n)], return_inverse=True)
+            fewest = 0
+            if len(at) >= SPAN:
+                first, last = _first_in(at)
+                change = np.bincount(first, minlength=len(at)) - np.bincount(last, minlength=len(at))[: len(at)]
+                fewest = int(np.cumsum(change)[: len(at) - SPAN + 1].min())
+            out.append((known, at, fewest))
+    return out
+
+
+def _alike(one: tuple, two: tuple) -> bool:
+    """Whether each of two texts, by _hashed, has a window of SPAN shingles with as many of the other's as a passage needs."""
+    (a, i, _), (b, j, _) = one, two
+    if min(len(i), len(j)) < SPAN:
+        return False
+    if len(a) > len(b):
+        a, i, b, j = b, j, a, i
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    common = b[at] == a
+    held = np.zeros(len(b), dtype=bool)
+    held[at[common]] = True
+    left = _margin(common[i], i)
+    right = None if left is None else _margin(held[j], j)
+    return right is not None and left + right >= -1e-6
+
+
+def _sieved(pairs: list[tuple[bytes, bytes]]) -> list[bool]:
+    """Whether two texts can have a passage, by _alike. A text of several pairs is hashed once."""
+    texts = list(dict.fromkeys(t for pair in pairs for t in pair))
+    token = dict(zip(texts, _hashed(texts), strict=True))
+    return [_alike(token[a], token[b]) for a, b in pairs]
+
+
+class _Block:
+    """Texts of a class, by _hashed, that others are held against: first all at once, then by how many shingles they have in
+    common, and last one by one."""
+
+    def __init__(self, texts: list[tuple]):
+        self.texts = texts
+        self.known, at = np.unique(np.concatenate([t[0] for t in texts]), return_inverse=True)
+        self.holds = np.zeros((len(self.known), len(texts)), dtype=bool)
+        self.holds[at, np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])] = True
+        self.fewest = np.array([t[2] for t in texts])
+
+    def alike(self, one: tuple) -> list[tuple[int, int]]:
+        """(number of the text, different shingles in common) of texts that can have a passage in common with this one."""
+        known, places, fewest = one
+        if len(places) < SPAN:
+            return []
+        at = np.minimum(np.searchsorted(self.known, known), len(self.known) - 1)
+        hit = self.known[at] == known
+        if _margin(hit[places], places) is None:
+            return []
+        common = np.count_nonzero(self.holds[at[hit]], axis=0)
+        # either side of a stretch has the different shingles of a window or more
+        enough = common + 1e-6 >= SIMILARITY / (1 + SIMILARITY) * (self.fewest + fewest)
+        return [(k, int(common[k])) for k in np.flatnonzero(enough).tolist() if _alike(one, self.texts[k])]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every passage of pairs of slices, by _FOUND."""
     left = pairs.join(texts.withColumnRenamed("d", "pd"), "pd").select("pd", "d", "s", "e", "ps", F.col("doc_id").alias("left_id"), _slice("text", "ps", "pe").alias("a"))
     both = left.join(texts, "d").select("pd", "d", "left_id", F.col("doc_id").alias("right_id"), "ps", "s", "a", _slice("text", "s", "e").alias("b"))
 
     def verify(batch):
         rows = []
-        if sieve:
-            some = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
-            batch = batch.filter(pa.array([x for i, j in chunks(some, lambda v: len(v[0]) + len(v[1]), 2 * _BYTES_AT_ONCE) for x in _sieved(some[i:j])], pa.bool_()))
-            del some
         for pd, d, i, j, ps, s, a, b in zip(*(batch.column(c).to_pylist() for c in ("pd", "d", "left_id", "right_id", "ps", "s", "a", "b")), strict=True):
             (a, one, end), (b, two, stop) = _whole_words(a, ps), _whole_words(b, s)
             rows += [(pd, d, i, j, one[x], end[x + n - 1], two[y], stop[y + m - 1], similarity, 0, n, 0, m) for similarity, x, n, y, m in matches(a, b)]
@@ -828,20 +870,55 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, d long, root long, n int, m int")
 
 
-def _unjoined(rows: DataFrame) -> DataFrame:
-    """All pairs (pd < d) of texts of different classes of which either has a window that finds enough in the other, and how
-    many shingles these find; texts are first held against whole classes. A window whose rarest shingles are in many texts
-    is held against texts with such windows only: others find its text themselves, and that is enough."""
+#: Texts of a class that others are held against in one task, and different shingles of them at once.
+_MEMBERS, _KNOWN = 64, 1 << 16
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """(d, other, parts): texts that are to be held against all of another class, which has so many parts of _MEMBERS. Of two
+    texts with a passage, each has a window that finds enough in the other, and so in the other's class. So it is enough
+    that those of the smaller class ask; but a window whose rarest shingles are in many texts is held against texts with
+    such windows only, and other texts ask these from the larger class too."""
     often = F.col("m") >= 4
-    probes = rows.where("n > 0").select("key", "d", "root", "n", (F.col("m").bitwiseAND(1) > 0).alias("all"), often.alias("mine"))
-    members = rows.select("key", F.col("root").alias("other"), F.col("d").alias("pd"), often.alias("often"))
-    asked = [F.count(F.lit(1)).alias("found"), F.min("n").alias("n")]
-    of_class = members.groupBy("key", "other").agg(F.max("often").alias("often"))
-    classes = probes.join(of_class, "key").where("root <> other AND (all OR often)").groupBy("d", "other").agg(*asked).where("found >= n").select("d", "other")
-    alone = F.max(F.expr("often AND NOT mine")).alias("alone")
-    pairs = probes.join(classes, "d").join(members, ["key", "other"]).where("all OR often").groupBy("pd", "d").agg(*asked, alone).where("found >= n")
-    both = pairs.groupBy(F.least("pd", "d").alias("x"), F.greatest("pd", "d").alias("y")).agg(F.sum("found").alias("found"), F.count(F.lit(1)).alias("sides"), F.max("alone").alias("alone"))
-    return both.where("sides = 2 OR alone").select(F.col("x").alias("pd"), F.col("y").alias("d"), "found")
+    sizes = rows.select("d", "root").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sized = rows.join(sizes, "root")
+    probes = sized.where("n > 0").select("key", "d", "root", "size", "n", (F.col("m").bitwiseAND(1) > 0).alias("all"), often.alias("mine"))
+    of_class = sized.groupBy("key", F.col("root").alias("other")).agg(F.max(often).alias("often"), F.max("size").alias("others"))
+    asks = "root <> other AND (all OR often) AND (size < others OR size = others AND root < other OR often AND NOT mine)"
+    counted = [F.count(F.lit(1)).alias("found"), F.min("n").alias("n"), F.max("others").alias("others")]
+    found = probes.join(of_class, "key").where(asks).groupBy("d", "other").agg(*counted).where("found >= n")
+    return found.select("d", "other", F.ceil(F.col("others") / _MEMBERS).cast("int").alias("parts"))
+
+
+def _unjoined(asked: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs (pd < d) of texts that ask a class and texts of it that can have a passage, by _Block, and how many different
+    shingles they have in common. Texts of a class meet those that ask it by parts, in a stream, and never as rows of pairs."""
+    text = texts.select("d", "text")
+    ask = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("other", "part", F.lit(1).alias("kind"), "d")
+    parts = asked.groupBy("other").agg(F.max("parts").alias("parts"))
+    members = rows.select("d", F.col("root").alias("other")).distinct().join(parts, "other")
+    told = members.select("other", F.expr("CAST(pmod(d, parts) AS int)").alias("part"), F.lit(0).alias("kind"), "d")
+    both = told.union(ask).join(text, "d").select("other", "part", "kind", "d", "text")
+
+    def run(batches):
+        part, names, held, blocks = None, [], [], None
+        for batch in batches:
+            out = []
+            for other, p, kind, d, h in zip(*(batch.column(c).to_pylist() for c in ("other", "part", "kind", "d")), _hashed(batch.column("text").to_pylist()), strict=True):
+                if (other, p) != part:
+                    part, names, held, blocks = (other, p), [], [], None
+                if kind == 0:
+                    names.append(d)
+                    held.append(h)
+                    continue
+                if blocks is None:
+                    blocks = [(a, _Block(held[a:b])) for a, b in chunks(held, lambda t: len(t[0]), _KNOWN)]
+                out += [(min(d, names[a + k]), max(d, names[a + k]), n) for a, block in blocks for k, n in block.alike(h)]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pd", "d", "found"])
+
+    alike = both.repartition("other", "part").sortWithinPartitions("other", "part", "kind").mapInArrow(run, "pd long, d long, found long")
+    return alike.groupBy("pd", "d").agg(F.max("found").alias("found"))
 
 
 def _completed(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -854,10 +931,11 @@ def _completed(texts: DataFrame, found: DataFrame) -> DataFrame:
     rooted = texts.select("d", "text", "low", "df").join(one.select("d", "root"), "d")
     rows = stored(_mixed(_rows_of(rooted)), "mixed")
     best = Window.partitionBy("d").orderBy(F.desc("found"), "pd")
-    pairs = stored(_unjoined(rows).withColumn("i", F.row_number().over(best)), "pairs")
+    asked = stored(_asked(rows), "asked")
+    pairs = stored(_unjoined(asked, rows, texts).withColumn("i", F.row_number().over(best)), "pairs")
 
     def proved(some):
-        return stored(_verified(some.select("pd", "d", *whole), texts, sieve=True), "proved")
+        return stored(_verified(some.select("pd", "d", *whole), texts), "proved")
 
     first = proved(pairs.where(F.col("i") <= _FEW))
     roots = components(linked.union(first.select("pd", "d")))
@@ -866,13 +944,26 @@ def _completed(texts: DataFrame, found: DataFrame) -> DataFrame:
     return first.union(proved(apart))
 
 
+@contextmanager
+def _shuffles_removed(spark):
+    """Files of shuffles go when the table that they were made for is written, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """Verified links: left_id, right_id, similarity, and of each side the passage's words (from 0 in the slice of text
     that begins at byte left_byte or right_byte) as left_byte, left_word, left_words, and so for the right."""
-    places = repeated(docs).dropDuplicates(["d"])
-    texts = stored(_named(docs).join(places, "d").dropDuplicates(["d"]), "texts")
-    found = stored(_verified(stored(_merged(candidates(texts)), "passages"), texts), "verified")
-    return found.union(_completed(texts, found)).drop("pd", "d", "left_end", "right_end").distinct()
+    with _shuffles_removed(docs.sparkSession):
+        places = stored(repeated(docs).dropDuplicates(["d"]), "places")
+        texts = stored(_named(docs).join(places, "d").dropDuplicates(["d"]), "texts")
+        found = stored(_verified(stored(_merged(candidates(texts)), "passages"), texts), "verified")
+        return found.union(_completed(texts, found)).drop("pd", "d", "left_end", "right_end").distinct()
 
 
 def classes(docs: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -308,3 +310,66 @@ def test_what_is_ruled_out_by_hashes_has_no_passage():
         held += alike
         passed += not alike
     assert held > 100 and passed > 100
+
+
+def test_outliers_of_near_copies_are_no_rows_of_pairs(spark, monkeypatch):
+    rng, seen, kept = np.random.default_rng(23), {}, substrings.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "stored", stored)
+    base, docs = line(rng, 130).split(), []
+    for i in range(150):
+        near = list(base)
+        for place in rng.choice(130, 2 if i < 120 else 8, replace=False) if i < 140 else range(5, 130, 20):
+            near[place] = f"e{rng.integers(0, 10**6)}"
+        docs.append((i, " ".join(near)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in substrings.classes(rows, substrings.passages(rows)).collect()}
+    assert found == brute(docs) and 5 < len(set(found.values())) < 40
+    assert seen["pairs"] <= 2 * len(docs)
+
+
+def test_texts_held_against_blocks_are_those_of_all_pairs():
+    rng = np.random.default_rng(24)
+    base = [f"w{x}" for x in rng.integers(0, 60, 150)]
+    texts = [b"few words", b""]
+    for _ in range(60):
+        near = list(base) if rng.random() < 0.7 else stuttered(rng, rng.integers(0, 9, 6), 1, 40).split()
+        for place in rng.integers(0, len(near), rng.integers(0, 14)):
+            near[place] = f"w{rng.integers(0, 90)}"
+        texts.append(" ".join(near).encode())
+    token = substrings._hashed(texts)
+    block = substrings._Block(token[:40])
+    for a, t in zip(texts[40:], token[40:], strict=True):
+        found = {k for k, _ in block.alike(t)}
+        assert found >= {k for k, b in enumerate(texts[:40]) if substrings.matches(b, a)}
+        assert found <= {k for k in range(40) if substrings._alike(t, token[k])}
+    for known, at, fewest in token[2:]:
+        assert fewest == min(len(set(at[i : i + 46].tolist())) for i in range(len(at) - 45)) if len(at) >= 46 else fewest == 0
+
+
+def test_files_of_shuffles_go_with_the_table_they_were_made_for(spark, monkeypatch):
+    key, kept, left = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", substrings.stored, {}
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    held = lambda: {f for f in files().split() if "shuffle_" in f}
+
+    def stored(df, name):
+        before = held()
+        out = kept(df, name)
+        for _ in range(50):
+            left[name] = held() - before
+            if not left[name]:
+                break
+            time.sleep(0.1)
+        return out
+
+    monkeypatch.setattr(substrings, "stored", stored)
+    rng = np.random.default_rng(25)
+    shared, set_before = line(rng, 70), spark.conf.get(key)
+    assert links(spark, [(i, f"{line(rng, 30)} {shared}") for i in range(9)])
+    assert {"texts", "pairs"} <= set(left) and not any(left.values())
+    assert spark.conf.get(key) == set_before
