@@ -334,10 +334,11 @@ def convert_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals as 12 bytes and back. Parts beyond 32 bits have no such bytes: what the type refuses is NULL."""
     kind = T.StructType([T.StructField(c, T.LongType()) for c in ("months", "days", "milliseconds")])
     parts = F.struct(F.col("user_id").alias("months"), (F.col("event_id") % 31).alias("days"), (F.col("event_id") * 70_000).alias("milliseconds"))
     rows = _events(spark, sf_dir, v=parts)
-    stored = convert.to_primitive("INTERVAL", F.col("v"), kind)
+    stored = convert.to_primitive("INTERVAL", F.col("v"), kind, mode=convert.PERMISSIVE)
     return rows.select("event_id", F.hex(stored).alias("stored"), convert.from_primitive("INTERVAL", stored)["milliseconds"].alias("milliseconds"))
 
 

@@ -41,3 +41,12 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["o_orderkey", "l_quantity"] and df.count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_intervals_beyond_32_bits_do_not_end_the_query(spark, tmp_path):
+    last = (2**32 - 1) // 70_000
+    rows = spark.createDataFrame([(last, 7), (last + 1, 7)], "event_id long, user_id long")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.event_id: (r.stored, r.milliseconds) for r in QUERIES["interval_pack"](spark, str(tmp_path)).collect()}
+    low = (last * 70_000).to_bytes(4, "little").hex().upper()
+    assert found == {last: (f"07000000{last % 31:02X}000000{low}", last * 70_000), last + 1: (None, None)}
