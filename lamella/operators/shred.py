@@ -4,14 +4,12 @@ A shredded row is (row_id, column, place, r, d, value): place holds the index of
 depth at which the row repeats, d counts the optional and repeated fields of the path that are there, and value is text
 (binary as hexadecimal digits). One leaf alone, with its own type, comes from shred_leaf().
 
-Shredding needs no shuffle, and reads of each leaf only its own column. Assembly shuffles once, by row_id; every later
-step groups by more columns than that, so it stays where it is.
+Shredding needs no shuffle and reads its input once, not once a leaf. Assembly shuffles once, by row_id, and not at all where
+rows are dealt so already; every later step groups by more columns than that, so it stays where it is.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,14 +74,49 @@ def _value(leaf: Field, text: Column) -> Column:
 
 
 def shred(df: DataFrame, schema: Schema, row_id: str = "row_id") -> DataFrame:
-    """All leaves of df, which must conform to the schema and hold a unique row_id."""
-    parts = [
-        shred_leaf(df, schema, list(leaf.path), row_id).select(
-            "row_id", F.lit(".".join(leaf.path)).alias("column"), "place", "r", "d", _text(leaf, F.col("value")).alias("value")
+    """All leaves of df, which must conform to the schema and hold a unique row_id.
+
+    df is read once for all leaves: a record is taken once for its leaves outside of arrays, and once for each repeated
+    field, whose elements then give a row for each leaf that repeats with it.
+    """
+    repeated = [f for f in schema.field_list if f.repetition == REPEATED]
+    number = {f.path: k for k, f in enumerate(repeated)}
+    roots = {f.name: k for k, f in enumerate(schema.roots)}
+
+    def lists(path: tuple[str, ...]) -> list[int]:
+        """Numbers of the repeated fields of a path, itself included."""
+        return [number[path[:n]] for n in range(1, len(path) + 1) if path[:n] in number]
+
+    def value(path: tuple[str, ...]) -> Column:
+        """A field's value in a row, where arrays on its path are taken apart."""
+        if path in number:
+            return F.col(f"_e{number[path]}")
+        return value(path[:-1])[path[-1]] if len(path) > 1 else F.col(f"_f{roots[path[0]]}")
+
+    def entry(leaf: Field) -> Column:
+        d, r, above = F.lit(0), F.lit(0), 0
+        for field in schema.find_branch(leaf.path):
+            if field.d_max > above:
+                d, above = F.when(value(field.path).isNotNull(), field.d_max).otherwise(d), field.d_max
+        places = [F.col(f"_p{k}") for k in lists(leaf.path)]
+        for k, p in enumerate(places, 1):
+            r = F.when(p > 0, k).otherwise(r)
+        place = F.array(*places) if places else F.array().cast("array<int>")
+        return F.struct(
+            F.lit(".".join(leaf.path)).alias("column"), place.alias("place"), r.alias("r"), d.alias("d"), _text(leaf, value(leaf.path)).alias("value")
         )
-        for leaf in schema.leaves
-    ]
-    return reduce(DataFrame.union, parts)
+
+    entries: dict[int, list[Column]] = {}
+    for leaf in schema.leaves:
+        entries.setdefault(max(lists(leaf.path), default=-1), []).append(entry(leaf))
+    now = df.select(F.col(f"`{row_id}`").alias("row_id"), *[F.col(f"`{name}`").alias(f"_f{k}") for name, k in roots.items()])
+    now = now.withColumn("_part", F.explode(F.array(*map(F.lit, entries))))
+    for k, field in enumerate(repeated):
+        inside = [n for n in entries if n >= 0 and k in lists(repeated[n].path)]  # parts that take this array apart
+        items = value(field.path[:-1])[field.name] if len(field.path) > 1 else F.col(f"_f{roots[field.name]}")
+        now = now.select("*", F.posexplode_outer(F.when(F.col("_part").isin(inside), items)).alias(f"_p{k}", f"_e{k}"))
+        now = now.withColumn(f"_p{k}", F.coalesce(f"_p{k}", F.lit(0)))
+    return now.select("row_id", F.inline(F.coalesce(*[F.when(F.col("_part") == n, F.array(*found)) for n, found in entries.items()])))
 
 
 def with_place(levels: DataFrame, order: str) -> DataFrame:
@@ -107,14 +140,15 @@ def materialize(shredded: DataFrame, schema: Schema) -> DataFrame:
     number = {leaf.path: j for j, leaf in enumerate(leaves)}
     deepest = max((leaf.r_max for leaf in leaves), default=0)
     keys = [f"_i{k}" for k in range(1, deepest + 1)]
-    mine = [F.col("column") == ".".join(leaf.path) for leaf in leaves]
-    present = [F.when(m & (F.col("d") >= leaf.d_max), F.col("value")) for m, leaf in zip(mine, leaves, strict=True)]
-    now = shredded.repartition("row_id").select(
-        "row_id",
+    leaf_of = F.coalesce(*[F.when(F.col("column") == ".".join(leaf.path), j) for j, leaf in enumerate(leaves)])
+    # rows stay narrow until their aggregate: one shuffle and one sort take all of them
+    now = shredded.select(
+        "row_id", leaf_of.alias("_leaf"), "d", "value",
         *[F.coalesce(F.get("place", F.lit(k)), F.lit(0)).alias(key) for k, key in enumerate(keys)],
-        *[F.when(m, F.col("d")).alias(f"d{j}") for j, m in enumerate(mine)],
-        *[_value(leaf, p).alias(f"v{j}") for j, (leaf, p) in enumerate(zip(leaves, present, strict=True))],
-    )
+    ).repartition("row_id")
+    mine = [F.col("_leaf") == j for j in range(len(leaves))]
+    levels = [F.when(m, F.col("d")) for m in mine]
+    values = [_value(leaf, F.when(m & (F.col("d") >= leaf.d_max), F.col("value"))) for m, leaf in zip(mine, leaves, strict=True)]
 
     def below(field: Field) -> list[int]:
         return [number[f.path] for f in field.walk() if not f.is_group]
@@ -142,13 +176,14 @@ def materialize(shredded: DataFrame, schema: Schema) -> DataFrame:
         outer = [f"a{'_'.join(map(str, below(f)))}" for f in carried]
         flat = [j for j, leaf in enumerate(leaves) if leaf.r_max <= level]
         now = now.groupBy("row_id", *keys[:level]).agg(
-            *[F.max(f"d{j}").alias(f"d{j}") for j in range(len(leaves))],
-            *[F.first(f"v{j}", ignorenulls=True).alias(f"v{j}") for j in flat],
+            *[F.max(levels[j]).alias(f"d{j}") for j in range(len(leaves))],
+            *[F.first(values[j], ignorenulls=True).alias(f"v{j}") for j in flat],
             *([] if level == deepest else [
                 F.array_sort(F.collect_list(F.when(F.col(f"_{a}_is"), F.struct(F.col("_at"), F.col(f"_{a}").alias("x"))))).alias(a)
                 for a in outer
             ]),
         )
+        levels, values = ([F.col(f"{c}{j}") for j in range(len(leaves))] for c in "dv")
         if level < deepest:
             now = now.withColumns({a: F.when(F.size(a) > 0, F.transform(a, lambda e: e["x"])) for a in outer})
         if level:
