@@ -179,13 +179,13 @@ def materialize(shredded: DataFrame, schema: Schema) -> DataFrame:
             *[F.max(levels[j]).alias(f"d{j}") for j in range(len(leaves))],
             *[F.first(values[j], ignorenulls=True).alias(f"v{j}") for j in flat],
             *([] if level == deepest else [
-                F.array_sort(F.collect_list(F.when(F.col(f"_{a}_is"), F.struct(F.col("_at"), F.col(f"_{a}").alias("x"))))).alias(a)
+                F.sort_array(F.collect_list(F.when(F.col(f"_{a}_is"), F.struct(F.col("_at"), F.col(f"_{a}").alias("x"))))).alias(a)
                 for a in outer
             ]),
         )
         levels, values = ([F.col(f"{c}{j}") for j in range(len(leaves))] for c in "dv")
         if level < deepest:
-            now = now.withColumns({a: F.when(F.size(a) > 0, F.transform(a, lambda e: e["x"])) for a in outer})
+            now = now.withColumns({a: F.when(F.size(a) > 0, F.col(a)["x"]) for a in outer})
         if level:
             here = [f for f in repeated if f.r_max == level]
             kept = {j for j, leaf in enumerate(leaves) if leaf.r_max < level}

@@ -46,10 +46,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their items, the input of the nested queries; lines of one supplier in three carry a note."""
     note = F.when(F.col("l_suppkey") % 3 == 0, F.col("l_returnflag"))
-    item = F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"), note.alias("l_note"), "l_partkey", "l_suppkey", "l_extendedprice")
-    order = F.struct(item["l_linenumber"], item["l_partkey"], item["l_suppkey"], item["l_extendedprice"])
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), item.alias("item")))).alias("items"))
-    items = items.select("l_orderkey", F.transform("items", lambda x: x["item"]).alias("items"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("double").alias("l_quantity"), note.alias("l_note"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))  # by the item's fields, in this order
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return orders.join(items, orders.o_orderkey == items.l_orderkey, "left").drop("l_orderkey")
 
